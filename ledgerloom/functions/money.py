@@ -1,7 +1,7 @@
 """Sums over months, guarded ratios and money texts.
 
-Sums stay decimal (exact in any order); ratios are taken on doubles, and only when the divisor is
-positive, since ANSI mode raises on division by zero.
+Sums stay decimal (exact in any order); ratios are taken on doubles, or on decimals where they are
+rounded next, and only when the divisor is positive, since ANSI mode raises on division by zero.
 """
 
 from __future__ import annotations
@@ -45,6 +45,17 @@ def ratio(part: Column, whole: Column, scale: float = 1.0) -> Column:
     return F.when(whole > 0, quotient).otherwise(F.lit(0.0))
 
 
+def exact_percent(part: Column, whole: Column) -> Column:
+    """``part / whole`` in percent as a decimal, 0 unless ``whole`` is positive.
+
+    For values that get rounded: 2345 of 100000 is 2.345 exactly here, and 2.3449… as a double.
+    """
+    # Wide enough for sums up to 10^20, and 16 digits behind the point of the quotient.
+    wide = "decimal(22,2)"
+    quotient = part.cast(wide) / whole.cast(wide) * F.lit(100)
+    return F.when(whole > 0, quotient).otherwise(F.lit(0))
+
+
 def scaled(value: Column, unit: float) -> Column:
     """Money in a larger unit, as a double."""
     return value.cast("double") / F.lit(float(unit))

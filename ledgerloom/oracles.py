@@ -120,7 +120,7 @@ def _ledger_column(name: str) -> str:
 
 
 LED = f"""{LINES},
-led AS (
+led AS MATERIALIZED (
   SELECT {', '.join(_ledger_column(c) for c in [*SYNC_COLUMNS, 'metadata'])}
   FROM (SELECT o_orderkey AS k, * FROM orders) o
   JOIN customer ON o_custkey = c_custkey
@@ -128,7 +128,7 @@ led AS (
   JOIN region ON n_regionkey = r_regionkey
   LEFT JOIN lines ON l_orderkey = k)"""
 
-MON = f"""mon AS (
+MON = f"""mon AS MATERIALIZED (
   SELECT event_id AS id, {_id('(user_id * 110)')} AS id_root, CAST(ts AS DATE) AS tanggal_monitoring,
          (CAST(round(value * 100) AS BIGINT) // 4) / 100.0 AS progres_fisik,
          (CAST(round(value * 100) AS BIGINT) // 5) / 100.0 AS progres_keuangan,
@@ -138,7 +138,7 @@ MON = f"""mon AS (
   FROM events)"""
 
 _MONTH_LIST = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
-FEED = f"""feed AS (
+FEED = f"""feed AS MATERIALIZED (
   SELECT event_id AS seq, {_id('(user_id * 110)')} AS id_root, ts AS timestamp, event_type,
          CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END
            AS operation,
@@ -209,6 +209,20 @@ def _share(part: str, whole: str, scale: str = " * 100") -> str:
     )
 
 
+def _exact(part: str, whole: str, digits: int, half_even: bool) -> str:
+    """``part / whole`` in percent, rounded exactly: whole-number arithmetic on cents."""
+    n = f"(CAST({part} * 100 AS HUGEINT) * {10 ** (digits + 2)})"
+    d = f"CAST({whole} * 100 AS HUGEINT)"
+    if half_even:
+        up = f"(2 * ({n} % {d}) > {d} OR (2 * ({n} % {d}) = {d} AND ({n} // {d}) % 2 = 1))"
+        rounded = f"({n} // {d} + CASE WHEN {up} THEN 1 ELSE 0 END)"
+    else:
+        rounded = f"((2 * {n} + {d}) // (2 * {d}))"
+    return (
+        f"CASE WHEN {whole} > 0 THEN CAST({rounded} AS DOUBLE) / {10 ** digits}::DOUBLE ELSE 0.0 END"
+    )
+
+
 def _sum(x: str, name: str) -> str:
     return _dbl(f"sum({x})", name)
 
@@ -230,7 +244,11 @@ CATEGORIES = (
     f"asset_categories, count(*) AS item_count, {_sum0('kebutuhan_dana', 'total_kebutuhan')}, "
     f"{_sum0('rkap', 'total_rkap')}, {_sum0(REAL, 'total_realisasi')}"
 )
-_CAT = f"(SELECT {CATEGORIES} FROM led GROUP BY asset_categories)"
+_CAT = (
+    f"(SELECT {CATEGORIES}, coalesce(sum({REAL}), 0) AS x, coalesce(sum(rkap), 0) AS y "
+    "FROM led GROUP BY asset_categories)"
+)
+_CAT_COLUMNS = "asset_categories, item_count, total_kebutuhan, total_rkap, total_realisasi"
 _CAT_SHARE = _share("total_realisasi", "total_rkap")
 _PCT1 = "replace(format('{{:,.1f}}', {x}), ',', '') || '%'"
 _STATUS = "coalesce(nullif(status_investasi, ''), 'Belum Ditentukan') AS status"
@@ -307,9 +325,9 @@ REPORTS = {
         f"{OPEN}, {CLOSED} FROM led GROUP BY klaster_regional"
     ),
     "regional_absorption": _led(
-        f"SELECT *, {_PCT1.format(x='serapan')} AS serapan_text FROM ("
-        f"SELECT *, {_share('total_realisasi', 'total_rkap')} AS serapan "
-        f"FROM (SELECT {REGIONAL} FROM led GROUP BY klaster_regional))"
+        f"SELECT * EXCLUDE (x, y), {_share('total_realisasi', 'total_rkap')} AS serapan, "
+        f"{_PCT1.format(x=_exact('x', 'y', 1, True))} AS serapan_text "
+        f"FROM (SELECT {REGIONAL}, sum({REAL}) AS x, sum(rkap) AS y FROM led GROUP BY klaster_regional)"
     ),
     "monthly_actuals": _led(
         "SELECT " + ", ".join(_sum0(c, m) for c, m in zip(REALISASI_MONTHS, MONTHS, strict=True)) + " FROM led"
@@ -322,11 +340,13 @@ REPORTS = {
         )
     ),
     "category_summary": _led(f"SELECT {CATEGORIES} FROM led GROUP BY asset_categories"),
-    "category_achievement": _led(f"SELECT *, round_even({_CAT_SHARE}, 2) AS capaian FROM {_CAT}"),
+    "category_achievement": _led(
+        f"SELECT {_CAT_COLUMNS}, {_exact('x', 'y', 2, True)} AS capaian FROM {_CAT}"
+    ),
     "category_band": _led(
-        f"SELECT *, {_PCT1.format(x='cap')} AS cap_text, "
-        f"CASE WHEN cap >= 50 THEN '#2ecc71' ELSE '#e74c3c' END AS color "
-        f"FROM (SELECT *, {_CAT_SHARE} AS cap FROM {_CAT})"
+        f"SELECT {_CAT_COLUMNS}, {_CAT_SHARE} AS cap, "
+        f"{_PCT1.format(x=_exact('x', 'y', 1, True))} AS cap_text, "
+        f"CASE WHEN y > 0 AND 2 * x >= y THEN '#2ecc71' ELSE '#e74c3c' END AS color FROM {_CAT}"
     ),
     "status_summary": _led(
         f"SELECT {_STATUS}, jumlah FROM "
@@ -397,7 +417,8 @@ REPORTS = {
     "open_closed_totals": _led(f"SELECT {OPEN}, {CLOSED} FROM led"),
     "ytd_achievement": _led(
         f"SELECT capaian, {_band('capaian', [(30, 'orange'), (60, 'yellow'), (80, 'green')], 'red')} AS color "
-        f"FROM (SELECT round({_share(f'sum({REAL10})', 'sum(rkap)')}, 2) AS capaian FROM led)"
+        f"FROM (SELECT {_exact('x', 'y', 2, False)} AS capaian "
+        f"FROM (SELECT sum({REAL10}) AS x, sum(rkap) AS y FROM led))"
     ),
     "ytd_actual": _led(
         f"SELECT CAST(sum({REAL10}) AS DOUBLE) / 1000000.0::DOUBLE AS realisasi_millions FROM led"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import labels
 from ledgerloom.functions.money import (
     billions_text,
+    exact_percent,
     millions_text,
     percent_text,
     ratio,
@@ -79,7 +80,7 @@ def regional_absorption(led: DataFrame, year: int | None = None) -> DataFrame:
     return (
         _regional(for_year(led, year))
         .withColumn("serapan", ratio(actual, budget, 100))
-        .withColumn("serapan_text", percent_text(F.col("serapan")))
+        .withColumn("serapan_text", percent_text(exact_percent(actual, budget)))
         .orderBy(_by_name("klaster_regional"))
     )
 
@@ -163,26 +164,27 @@ def category_summary(led: DataFrame) -> DataFrame:
     return _categories(led).orderBy(_by_name("asset_categories"))
 
 
-def _category_share() -> Column:
-    return ratio(F.col("total_realisasi"), F.col("total_rkap"), 100)
+def _exact_share() -> Column:
+    return exact_percent(F.col("total_realisasi"), F.col("total_rkap"))
 
 
 def category_achievement(led: DataFrame) -> DataFrame:
     """Achieved percent, rounded half-even to 2 digits."""
     return (
         _categories(led)
-        .withColumn("capaian", F.bround(_category_share(), 2))
+        .withColumn("capaian", F.bround(_exact_share(), 2))
         .orderBy(_by_name("asset_categories"))
     )
 
 
 def category_band(led: DataFrame) -> DataFrame:
-    """Achieved percent as text and colour."""
+    """Achieved percent as number, text and colour."""
+    exact = _exact_share()
     return (
         _categories(led)
-        .withColumn("cap", _category_share())
-        .withColumn("cap_text", percent_text(F.col("cap")))
-        .withColumn("color", labels.band(F.col("cap"), labels.HALF_BANDS, labels.HALF_BASE))
+        .withColumn("cap", ratio(F.col("total_realisasi"), F.col("total_rkap"), 100))
+        .withColumn("cap_text", percent_text(exact))
+        .withColumn("color", labels.band(exact, labels.HALF_BANDS, labels.HALF_BASE))
         .orderBy(_by_name("asset_categories"))
     )
 
@@ -364,7 +366,7 @@ def ytd_achievement(led: DataFrame, through_month: int = 10) -> DataFrame:
             F.sum(row_total(led, "realisasi", through_month)).alias("actual"),
             F.sum("rkap").alias("budget"),
         )
-        .select(F.round(ratio(F.col("actual"), F.col("budget"), 100), 2).alias("capaian"))
+        .select(F.round(exact_percent(F.col("actual"), F.col("budget")), 2).alias("capaian"))
         .withColumn("color", labels.band(F.col("capaian"), labels.YTD_BANDS, labels.YTD_BASE))
     )
 

@@ -5,10 +5,24 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
 
+# A ledger row is so wide that one fused method over it can pass the size the JVM still compiles
+# (8000 bytes of bytecode); from there on it would be interpreted, several times slower. With this
+# limit Spark leaves such a stage unfused and compiles its expressions in pieces.
+WIDE_ROW_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings wide ledgers want; call it on the cluster's session."""
+    for key, value in WIDE_ROW_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches; on a cluster, pass the cluster's own session instead."""
     builder = (
@@ -24,7 +38,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
+
+
+@cache
+def _local_fallback() -> str:
+    return tempfile.mkdtemp(prefix="ledgerloom-")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="ledgerloom-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return _local_fallback()
 
 
 def new_workspace(spark: SparkSession, label: str) -> str:
