@@ -436,12 +436,6 @@ def _good_feed(spark: SparkSession, sf: str) -> DataFrame:
     return fixture.feed(spark, sf).join(parsed.select("seq"), "seq", "left_semi")
 
 
-def _changed_source(spark: SparkSession, sf: str, path: str) -> DataFrame:
-    """The source after the feed, written once: every micro-batch reads from it."""
-    _changed_ledger(fixture.ledger(spark, sf), _good_feed(spark, sf)).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _run(query) -> None:
     try:
         query.awaitTermination()
@@ -452,10 +446,13 @@ def _run(query) -> None:
 def _apply(spark: SparkSession, sf: str, root: str) -> LedgerStore:
     store = LedgerStore(spark, f"{root}/store")
     load.full_load(store, fixture.ledger(spark, sf), "daemon")
-    changed = _changed_source(spark, sf, f"{root}/source")
+
+    def read_source() -> DataFrame:
+        return _changed_ledger(fixture.ledger(spark, sf), _good_feed(spark, sf))
+
     _run(
         apply.start_apply(
-            store, _payload_stream(spark, sf), lambda: changed, f"{root}/checkpoint",
+            store, _payload_stream(spark, sf), read_source, f"{root}/checkpoint",
             rejects_path=f"{root}/rejects", trigger={"availableNow": True},
         )
     )

@@ -57,6 +57,15 @@ def last_operation(feed: DataFrame, seq: str | None = "seq") -> DataFrame:
 # ---- insert, delete, upsert ----------------------------------------------------------------
 
 
+def known_keys(led: DataFrame, keys: DataFrame) -> DataFrame:
+    """The distinct ids of ``keys`` that the ledger holds.
+
+    The ledger stands on the side that streams past a broadcast, so a small batch of keys costs one
+    scan of its id column and no shuffle of it.
+    """
+    return led.select("id_root").join(keys.select("id_root"), "id_root", "left_semi").distinct()
+
+
 def insert_rows(
     led: DataFrame, incoming: DataFrame, order: Sequence[Column] = ()
 ) -> tuple[DataFrame, DataFrame]:
@@ -69,22 +78,19 @@ def insert_rows(
     clean = incoming.withColumn("type_investasi", F.when(kind.isin(*INVESTMENT_TYPES), kind))
     arrival = list(order) or [F.col("updated_at").asc_nulls_last(), F.xxhash64(*incoming.columns)]
     first = newest_per_key(clean.where(F.col("id_root").isNotNull()), ["id_root"], arrival)
-    added = delete_keys(first, led)
+    known = known_keys(led, incoming)
+    added = delete_keys(first, known)
 
-    known = led.select("id_root").distinct().withColumn("known", F.lit(True))
     reason = (
-        F.when(F.col("id_root").isNull(), "missing").when(F.col("known"), "exists").otherwise("repeated")
+        "CASE WHEN id_root IS NULL THEN 'missing' WHEN known THEN 'exists' ELSE 'repeated' END"
     )
     refused = (
         incoming.groupBy("id_root")
         .agg(F.count("*").alias("n"))
-        .join(known, "id_root", "left")
-        .select(
-            "id_root",
-            reason.alias("reason"),
-            F.when(reason == "repeated", F.col("n") - 1).otherwise(F.col("n")).alias("refused_rows"),
-        )
-        .where(F.col("refused_rows") > 0)
+        .join(known.withColumn("known", F.lit(True)), "id_root", "left")
+        .selectExpr("id_root", f"{reason} AS reason", "n")
+        .selectExpr("id_root", "reason", "n - int(reason = 'repeated') AS refused_rows")
+        .where("refused_rows > 0")
     )
     return led.unionByName(added), refused
 
@@ -96,11 +102,25 @@ def delete_keys(led: DataFrame, keys: DataFrame) -> DataFrame:
 def upsert(
     led: DataFrame, incoming: DataFrame, key_cols: Sequence[str] = ("id_root",)
 ) -> DataFrame:
-    """Newest version per key of old and incoming rows; on equal stamps the incoming one wins."""
-    versions = led.withColumn("__seq", F.lit(0)).unionByName(
-        incoming.withColumn("__seq", F.lit(1))
+    """Newest version per key of a ledger's row and the incoming ones; on equal stamps the latter.
+
+    The incoming rows are reduced to one per key and joined to the ledger, so a batch small enough
+    to broadcast leaves the ledger unshuffled. ``led`` holds one row per key.
+    """
+    fresh = dedup_latest(incoming, key_cols)
+    renamed = fresh.selectExpr(*(f"{c} AS _new_{c}" for c in led.columns), "true AS _is_new")
+    same_key = F.expr(" AND ".join(f"{k} <=> _new_{k}" for k in key_cols))
+    newer = "_is_new AND (updated_at IS NULL OR _new_updated_at >= updated_at)"
+    kept = led.join(renamed, same_key, "left").selectExpr(
+        *(f"CASE WHEN {newer} THEN _new_{c} ELSE {c} END AS {c}" for c in led.columns)
+    )
+    held = led.select(*key_cols).join(
+        renamed.select(*(f"_new_{k}" for k in key_cols)), same_key, "left_semi"
+    )
+    added = renamed.join(held, same_key, "left_anti").selectExpr(
+        *(f"_new_{c} AS {c}" for c in led.columns)
     )
-    return dedup_latest(versions, key_cols, seq="__seq").drop("__seq")
+    return kept.unionByName(added)
 
 
 # ---- column updates ------------------------------------------------------------------------

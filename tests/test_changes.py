@@ -99,6 +99,25 @@ def test_upsert_is_idempotent_and_ignores_stale_rows(make):
     assert rows(ch.upsert(once, incoming), "id_root", "pic") == expected
 
 
+def test_upsert_under_a_wider_key_matches_null_parts(make):
+    led = make({"id_root": "A", "entitas_terminal": None, "updated_at": OLD, "pic": "old"})
+    incoming = make(
+        {"id_root": "A", "entitas_terminal": None, "updated_at": OLD, "pic": "tie"},
+        {"id_root": "A", "entitas_terminal": "Pier", "updated_at": NOW, "pic": "moved"},
+    )
+    after = ch.upsert(led, incoming, ["entitas_terminal", "id_root"])
+    assert rows(after, "entitas_terminal", "pic") == [(None, "tie"), ("Pier", "moved")]
+
+
+def test_a_small_batch_leaves_the_ledger_unshuffled(spark, make):
+    led = ledger(make, *(f"K{i}" for i in range(50)))
+    for after in (ch.upsert(led, ledger(make, "K1")), ch.insert_rows(led, ledger(make, "K1"))[0]):
+        after.collect()
+        plan = after._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan.split("Initial Plan")[0]
+        assert "SortMergeJoin" not in plan.split("Initial Plan")[0]
+
+
 # ---- column updates ----
 
 
