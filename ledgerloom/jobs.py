@@ -147,6 +147,7 @@ def follow(spark: SparkSession, args: argparse.Namespace) -> None:
         args.checkpoint,
         rejects_path=args.rejects,
         trigger={"processingTime": args.every},
+        compact_every=args.compact_every,
         after_batch=republish,
     )
     query.awaitTermination()
@@ -206,6 +207,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--rejects")
     sub.add_argument("--reports", help="folder to publish the store's reports to")
     sub.add_argument("--every", default="1 second")
+    sub.add_argument("--compact-every", type=int, default=100, help="change batches; 0 never")
     job(compact, source=False, store=True)
     return top
 
