@@ -407,6 +407,13 @@ def compacted_load(spark: SparkSession, sf: str) -> DataFrame:
     return _loaded(store)
 
 
+def stored_year_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A report of one year from the stored ledger: prunes to that year's partition."""
+    store = LedgerStore(spark, new_workspace(spark, "stored"))
+    load.load(store, fixture.ledger(spark, sf), full=True)
+    return comparable(reports.regional_summary(store.read(), 1998))
+
+
 def _payloads(events: DataFrame) -> DataFrame:
     """Event rows as JSON texts; some views are cut short, some clicks lack an id."""
     whole = feeds.payload(F.col("operation"), F.col("id_root"), F.col("timestamp"))
@@ -503,6 +510,7 @@ LOADS: dict[str, Query] = {
     "full_load": full_load,
     "incremental_load": incremental_load,
     "compacted_load": compacted_load,
+    "stored_year_summary": stored_year_summary,
     "stream_apply": stream_apply,
     "stream_rejects": stream_rejects,
     "stream_summary": stream_summary,

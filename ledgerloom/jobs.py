@@ -153,6 +153,14 @@ def follow(spark: SparkSession, args: argparse.Namespace) -> None:
     query.awaitTermination()
 
 
+def refresh(spark: SparkSession, args: argparse.Namespace) -> None:
+    store = _store(spark, args)
+    query = summaries.start_refresh(
+        spark, store.read, STORE_REPORTS, args.out, args.checkpoint, args.every
+    )
+    query.awaitTermination()
+
+
 def compact(spark: SparkSession, args: argparse.Namespace) -> None:
     print("years rewritten:", _store(spark, args).compact())
 
@@ -208,6 +216,10 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--reports", help="folder to publish the store's reports to")
     sub.add_argument("--every", default="1 second")
     sub.add_argument("--compact-every", type=int, default=100, help="change batches; 0 never")
+    sub = job(refresh, source=False, store=True)
+    sub.add_argument("--out", required=True)
+    sub.add_argument("--checkpoint", required=True)
+    sub.add_argument("--every", default="30 seconds")
     job(compact, source=False, store=True)
     return top
 

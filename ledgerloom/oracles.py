@@ -836,6 +836,9 @@ LOADS = {
     "full_load": _conformed(f"SELECT {LOADED} FROM conf"),
     "incremental_load": _AFTER_DELETES,
     "compacted_load": _AFTER_DELETES,
+    "stored_year_summary": _conformed(
+        f"SELECT {REGIONAL} FROM conf WHERE tahun_rkap = 1998 GROUP BY klaster_regional"
+    ),
     "stream_apply": _q(
         LED, FEED, GOOD, _changed("good", "goodgone"), _conf("daemon", "changed"),
         select=f"SELECT {LOADED} FROM conf",

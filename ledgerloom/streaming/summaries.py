@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.views import VIEWS
+from ledgerloom.sources import files
 
 
 def start_summary(
@@ -20,11 +20,16 @@ def start_summary(
 ) -> StreamingQuery:
     """Maintain one view from a stream of inserted ledger rows.
 
-    State holds one row per group. Every micro-batch writes the complete view to its own folder.
+    State holds one row per group. Every micro-batch writes the complete view to its own folder;
+    the one before stays for readers that are still at it.
     """
+    spark = inserted.sparkSession
 
     def write(result: DataFrame, batch: int) -> None:
         result.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        for old in files.finished_batches(spark, out):
+            if old < batch - 1:
+                files.drop(spark, f"{out}/batch={old}")
 
     return (
         VIEWS[view](inserted)
@@ -37,15 +42,35 @@ def start_summary(
 
 
 def read_summary(spark: SparkSession, out: str) -> DataFrame:
-    """The view as of the last micro-batch."""
-    rows = spark.read.option("basePath", out).parquet(out)
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.where(F.col("batch") == last).drop("batch")
+    """The view as of the last finished micro-batch."""
+    done = files.finished_batches(spark, out)
+    if not done:
+        raise ValueError(f"no finished view under {out}")
+    return spark.read.parquet(f"{out}/batch={done[-1]}")
 
 
-def publish(
-    led: DataFrame, reports: Mapping[str, Callable[[DataFrame], DataFrame]], out: str
-) -> None:
+Reports = Mapping[str, Callable[[DataFrame], DataFrame]]
+
+
+def publish(led: DataFrame, reports: Reports, out: str) -> None:
     """Write each report of the ledger to its own table under ``out``."""
     for name, report in reports.items():
         report(led).write.mode("overwrite").parquet(f"{out}/{name}")
+
+
+def start_refresh(
+    spark: SparkSession,
+    read_ledger: Callable[[], DataFrame],
+    reports: Reports,
+    out: str,
+    checkpoint: str,
+    every: str = "30 seconds",
+) -> StreamingQuery:
+    """Publish the reports again and again, on a clock of Spark's own."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return (
+        ticks.writeStream.foreachBatch(lambda _ticks, _batch: publish(read_ledger(), reports, out))
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime=every)
+        .start()
+    )
