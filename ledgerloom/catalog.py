@@ -93,14 +93,14 @@ REPORTS: dict[str, Query] = {
     "view_issues": _on_conformed(views.issues),
     "view_monthly": _on_conformed(views.monthly),
     "view_type": _on_conformed(views.investment_type),
-    "read_budget_actual": _on_conformed(lambda l: views.read_budget_actual(views.budget_actual(l))),
+    "read_budget_actual": _on_conformed(lambda led: views.read_budget_actual(views.budget_actual(led))),
     "read_budget_actual_year": _on_conformed(
-        lambda l: views.read_budget_actual(views.budget_actual(l), 1997)
+        lambda led: views.read_budget_actual(views.budget_actual(led), 1997)
     ),
-    "read_progress": _on_conformed(lambda l: views.read_progress(views.progress(l))),
-    "read_issues": _on_conformed(lambda l: views.read_issues(views.issues(l))),
-    "read_monthly": _on_conformed(lambda l: views.read_monthly(views.monthly(l))),
-    "read_type": _on_conformed(lambda l: views.read_investment_type(views.investment_type(l))),
+    "read_progress": _on_conformed(lambda led: views.read_progress(views.progress(led))),
+    "read_issues": _on_conformed(lambda led: views.read_issues(views.issues(led))),
+    "read_monthly": _on_conformed(lambda led: views.read_monthly(views.monthly(led))),
+    "read_type": _on_conformed(lambda led: views.read_investment_type(views.investment_type(led))),
     "ledger_count": _on_conformed(reports.ledger_count),
     "kpi_totals": _on_conformed(reports.kpi_totals),
     "kpi_overview": _on_source(reports.kpi_overview),
@@ -118,7 +118,7 @@ REPORTS: dict[str, Query] = {
     "category_budget_table": _on_source(reports.category_budget_table),
     "category_budget_footer": _on_source(reports.category_budget_footer),
     "s_curve": _on_source(reports.s_curve),
-    "latest_page": _on_source(lambda l: reports.latest_page(shape.listing(l), 100, 100)),
+    "latest_page": _on_source(lambda led: reports.latest_page(shape.listing(led), 100, 100)),
     "top_budget": _on_source(reports.top_budget),
     "first_by_id": _on_conformed(reports.first_by_id),
 }
@@ -180,8 +180,8 @@ SHAPES: dict[str, Query] = {
     ),
     "facet_values": _on_source(filters.facet_values),
     "filtered_count": _on_source(
-        lambda l: reports.ledger_count(
-            filters.equal_to(l, klaster_regional="ASIA", status_issue="Open", pic=None)
+        lambda led: reports.ledger_count(
+            filters.equal_to(led, klaster_regional="ASIA", status_issue="Open", pic=None)
         )
     ),
     "enriched_listing": _on_source(shape.enriched),
@@ -190,7 +190,7 @@ SHAPES: dict[str, Query] = {
     "conform_cli": _on_source(conform),
     "conform_daemon": _on_source(conform, profile="daemon"),
     "computed_totals": _on_source(
-        lambda l: with_totals(l).select("id_root", *TOTALS.values())
+        lambda led: with_totals(led).select("id_root", *TOTALS.values())
     ),
     "default_fill": _on_source(_partial_rows),
     "stripped_texts": _on_source(_padded),
@@ -302,9 +302,9 @@ CHANGES: dict[str, Query] = {
         lambda f: ch.last_operation(f).select("id_root", "operation", "timestamp", "seq")
     ),
     "insert_rows": _on_source(
-        lambda l: _insert_parts(l)[0].select("id_root", "tahun_rkap", "type_investasi", "rkap")
+        lambda led: _insert_parts(led)[0].select("id_root", "tahun_rkap", "type_investasi", "rkap")
     ),
-    "insert_rejects": _on_source(lambda l: _insert_parts(l)[1]),
+    "insert_rejects": _on_source(lambda led: _insert_parts(led)[1]),
     "partial_update": _with_feed(
         lambda led, feed: ch.partial_update(
             led, _update_changes(feed), ["pic", "jangka_waktu", "issue_description"], _at(STAMP)
@@ -354,16 +354,16 @@ def _validate_newest(led: DataFrame) -> DataFrame:
 
 
 QUALITY: dict[str, Query] = {
-    "quality_issues": _on_source(lambda l: quality.issues(l).drop("updated_at")),
+    "quality_issues": _on_source(lambda led: quality.issues(led).drop("updated_at")),
     "quality_validate": _on_source(
-        lambda l: quality.validate(l).select("id_root", "is_valid", "finding_count")
+        lambda led: quality.validate(led).select("id_root", "is_valid", "finding_count")
     ),
     "quality_report": _on_source(quality.report),
     "quality_report_lines": _on_source(quality.first_issues),
     "quality_newest": _on_source(_validate_newest),
     "quality_ledger_constraints": _on_source(quality.ledger_violations),
     "quality_ledger_constraint_counts": _on_source(
-        lambda l: quality.violation_counts(quality.ledger_violations(l))
+        lambda led: quality.violation_counts(quality.ledger_violations(led))
     ),
     "monitoring_constraints": _on_monitoring(quality.monitoring_violations),
     "sync_counts": _with_feed(_sync_counts),
@@ -494,9 +494,11 @@ def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
         _changed_ledger(led, feed),
         ch.last_operation(feed).where(F.col("operation") != "DELETE"),
     )
+    columns = ["tahun_rkap", "klaster_regional", "rkap", "total_realisasi", "nilai_kontrak"]
     for part in (led, resynced):
-        conform(part, "daemon").write.mode("append").parquet(f"{root}/inserts")
-    inserted = spark.readStream.schema(CONFORMED_LEDGER).parquet(f"{root}/inserts")
+        conform(part, "daemon").select(columns).write.mode("append").parquet(f"{root}/inserts")
+    schema = T.StructType([f for f in CONFORMED_LEDGER.fields if f.name in columns])
+    inserted = spark.readStream.schema(schema).parquet(f"{root}/inserts")
     _run(
         summaries.start_summary(
             inserted, "budget_actual", f"{root}/out", f"{root}/checkpoint", {"availableNow": True}

@@ -73,3 +73,21 @@ def test_ranked_pages_do_not_sort_the_whole_ledger(spark):
 def test_reports_aggregate_before_they_shuffle(spark):
     for name in ("regional_summary", "category_budget_table", "view_budget_actual", "s_curve"):
         assert "partial_sum" in plan_of(spark, name)
+
+
+def test_one_project_holding_a_third_of_the_feed_keeps_results_whole(spark, duck, tmp_path):
+    """The keyed changes over a feed in which a third of all events hit one project."""
+    for path in glob.glob(f"{SMALL}/*.parquet"):
+        if not path.endswith("events.parquet"):
+            os.symlink(path, tmp_path / os.path.basename(path))
+    duck.sql(
+        "COPY (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id) "
+        f"FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)"
+    )
+    skewed = duckdb.connect()
+    for path in glob.glob(f"{tmp_path}/*.parquet"):
+        skewed.sql(f"CREATE VIEW {os.path.basename(path).removesuffix('.parquet')} AS FROM '{path}'")
+    for name in ("last_operation", "set_actual", "partial_update", "cascade_delete",
+                 "monitoring_constraints", "stream_apply"):
+        got = QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert plain(got) == plain(skewed.sql(ORACLES[name]).df()), name
