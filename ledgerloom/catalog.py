@@ -93,7 +93,9 @@ REPORTS: dict[str, Query] = {
     "view_issues": _on_conformed(views.issues),
     "view_monthly": _on_conformed(views.monthly),
     "view_type": _on_conformed(views.investment_type),
-    "read_budget_actual": _on_conformed(lambda led: views.read_budget_actual(views.budget_actual(led))),
+    "read_budget_actual": _on_conformed(
+        lambda led: views.read_budget_actual(views.budget_actual(led))
+    ),
     "read_budget_actual_year": _on_conformed(
         lambda led: views.read_budget_actual(views.budget_actual(led), 1997)
     ),
@@ -269,7 +271,8 @@ def _diff_pair(led: DataFrame, feed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _snapshot_diff(led: DataFrame, feed: DataFrame) -> DataFrame:
     old, new = _diff_pair(led, feed)
     events = compare.change_events(old, new, _at(STAMP))
-    return events.select("id_root", "operation", F.get_json_object("payload", "$.id_root").alias("sent_id"))
+    sent = F.get_json_object("payload", "$.id_root")
+    return events.select("id_root", "operation", sent.alias("sent_id"))
 
 
 def _renames(feed: DataFrame) -> DataFrame:
@@ -476,7 +479,8 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     root = new_workspace(spark, "rejects")
 
     def keep(payloads: DataFrame, batch: int) -> None:
-        feeds.rejects(feeds.parse(payloads)).write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
+        skipped = feeds.rejects(feeds.parse(payloads))
+        skipped.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
 
     _run(
         _payload_stream(spark, sf).writeStream.foreachBatch(keep)

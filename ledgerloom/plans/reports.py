@@ -221,6 +221,7 @@ def category_budget_table(
 ) -> DataFrame:
     """The numbered budget table by category; ``capaian`` is a ratio, its colour reads percent."""
     share = ratio(F.col("ytd_actual"), F.col("budget"))
+    # One window over all rows, which are the few aggregated categories, never ledger rows.
     number = F.row_number().over(Window.orderBy(_by_name("asset_categories"))).cast("bigint")
     return (
         _category_sums(led, through_month)
