@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import quality_rules
+from ledgerloom.llm import bpe, license_scans, quality_rules, url_filters
 
 QUERIES = {
+    "op3_url_filters": url_filters.op3_url_filters,
+    "op5_bpe": bpe.op5_bpe,
+    "op8_license_scans": license_scans.op8_license_scans,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op3_url_filters": url_filters.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
