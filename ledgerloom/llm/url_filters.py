@@ -94,12 +94,12 @@ def keys_of(host: Column) -> Column:
 
 
 def _hashed(keys: DataFrame, shards: int) -> DataFrame:
-    """key, two 56-bit hashes and the shard."""
+    """key, two 44-bit hashes, whose multiples stay in range, and the shard."""
     wide = F.xxhash64("key")
     return keys.select(
         "key",
-        F.shiftrightunsigned(wide, 8).alias("h"),
-        F.shiftrightunsigned(F.xxhash64(F.lit("step"), "key"), 8).alias("step"),
+        F.shiftrightunsigned(wide, 20).alias("h"),
+        F.shiftrightunsigned(F.xxhash64(F.lit("step"), "key"), 20).alias("step"),
         F.pmod(F.xxhash64(F.lit("shard"), "key"), F.lit(shards)).cast("int").alias("shard"),
     )
 
@@ -180,8 +180,8 @@ class Cascade:
         hashed = F.transform(
             keys,
             lambda k: F.struct(
-                F.shiftrightunsigned(F.xxhash64(k), 8).alias("h"),
-                F.shiftrightunsigned(F.xxhash64(F.lit("step"), k), 8).alias("step"),
+                F.shiftrightunsigned(F.xxhash64(k), 20).alias("h"),
+                F.shiftrightunsigned(F.xxhash64(F.lit("step"), k), 20).alias("step"),
                 F.pmod(F.xxhash64(F.lit("shard"), k), F.lit(self.shards)).cast("int").alias("shard"),
             ),
         )
