@@ -136,7 +136,8 @@ def _within(levels: list[Level], h, step, shard) -> np.ndarray:
 
 def _encoded(keys: DataFrame, number: int, count: int, shards: int, sizes: Sizes) -> Level:
     """One level over hashed keys: words of 64 bits or-ed by Spark, gathered within the pass's bound."""
-    bits = max(64, math.ceil(count / max(shards, 1) * sizes.bits_per_key / 64) * 64)
+    # Odd and different at each level, so that keys that fall together at one part at the next.
+    bits = max(2, math.ceil(count / max(shards, 1) * sizes.bits_per_key / 64)) * 64 + 2 * number + 1
     at = F.explode(
         F.transform(
             F.sequence(F.lit(1 + number * sizes.hashes), F.lit((number + 1) * sizes.hashes)),
@@ -153,7 +154,7 @@ def _encoded(keys: DataFrame, number: int, count: int, shards: int, sizes: Sizes
         shard, word, mask = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         for s in np.unique(shard):
             own = shard == s
-            found.setdefault(int(s), np.zeros(bits // 64, dtype=np.uint64))[word[own]] = mask[own].view(np.uint64)
+            found.setdefault(int(s), np.zeros(bits // 64 + 1, dtype=np.uint64))[word[own]] = mask[own].view(np.uint64)
     return Level(bits, sizes.hashes, found)
 
 

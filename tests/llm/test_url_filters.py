@@ -41,9 +41,9 @@ def test_contract_rules(spark):
 def test_cascade_is_exact_over_passes_and_levels(spark):
     """A weak filter needs several levels; small passes split the list; membership stays exact."""
     rng = random.Random(3)
-    hosts = [f"h{i}.d{i % 700}.org" for i in range(3000)]
+    hosts = [f"h{i}.d{i % 700}.org" for i in range(1500)]
     listed = sorted(rng.sample([f"d{i}.org" for i in range(700)], 200) + [f"gone{i}.org" for i in range(50)])
-    sizes = uf.Sizes(bits_per_key=5, hashes=3, keys_per_shard=60, pass_bytes=200)
+    sizes = uf.Sizes(bits_per_key=5, hashes=3, keys_per_shard=130, pass_bytes=200)
     pages = spark.createDataFrame([(i, f"http://{h}/", None) for i, h in enumerate(hosts)], PAGES)
     keys = spark.createDataFrame([(k,) for k in listed] + [(listed[0],), (None,)], "key string")
     universe = pages.select(F.explode(uf.keys_of(uf.host_of(F.col("url")))).alias("key"))
