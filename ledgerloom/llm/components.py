@@ -15,7 +15,7 @@ from ledgerloom.llm import base
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node reachable, for every node of a link (a, b)."""
+    """node, label: the least node reachable, for every node of a link (a, b) but the least itself."""
     edges = base.stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "links",

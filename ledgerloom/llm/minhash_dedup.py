@@ -12,8 +12,8 @@ probability about 3 in 10,000, a pair at 0.85 with less than one in 100,000.
 **Without pairing off groups.** Documents of equal sets are one class first. In each bucket of a key, every member
 meets the bucket's least one only; confirmed links give components. That leaves pairs of one bucket in different
 components. They are all compared next, so nothing is capped: a group of near copies is one component
-by then and adds no pair, and the distance is part of the join's condition, so
-a pair beyond it never becomes a row.
+by then and adds no pair. The distance, and a bound on what the sets can share (from parity bits of
+each), are part of the join's condition, so a pair that they rule out never becomes a row.
 
 **Confirming.** Candidate pairs get their texts by two joins, and the full sets (64-bit hashes of shingles)
 decide by 100 * intersection >= percent * union.
@@ -40,6 +40,7 @@ from ledgerloom.llm import base
 from ledgerloom.llm.components import components
 
 NO_ID = (1 << 63) - 1
+PARITY_BITS = 2_048
 
 
 @dataclass(frozen=True)
@@ -134,6 +135,11 @@ class Shingler:
         out[: self.settings.symbols] = (_mixed(least[:, 0]) >> np.uint64(48)).astype(np.uint16)
         return out
 
+    def parity(self, shingles: np.ndarray) -> np.ndarray:
+        """Parity bits of the set: bit i tells whether an odd number of its hashes end in i."""
+        odd = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         common = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * common >= self.settings.percent * (len(a) + len(b) - common)
@@ -149,20 +155,21 @@ def signatures(documents: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Shingler.of(settings)
         for b in batches:
-            sizes, nodes, signed = [], [], []
+            sizes, nodes, signed, parity = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = made.shingles(text)
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_64_intdigest(xxhash.xxh3_128_digest(s.tobytes())) - (1 << 63) if len(s) else None)
                 signed.append(made.signature(s).view(np.int64) if len(s) else None)
+                parity.append(made.parity(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(signed, pa.list_(pa.int64()))],
-                names=["id", "text_hash", "n_shingles", "node", "signature"],
+                 pa.array(signed, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                names=["id", "text_hash", "n_shingles", "node", "signature", "parity"],
             )
 
     rows = documents.select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), base.text_of().alias("text"))
-    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, node long, signature array<long>")
+    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, node long, signature array<long>, parity array<long>")
 
 
 def keyed(nodes: DataFrame, settings: Settings) -> DataFrame:
@@ -203,10 +210,22 @@ def _distance(a: Column, b: Column, settings: Settings) -> Column:
 
 
 def _may_link(a: str, b: str, settings: Settings) -> Column:
-    """Near enough by signature, and by set sizes: the smaller set holds at least the whole intersection."""
+    """Near enough by signature, and not ruled out by sizes or parity.
+
+    The smaller set holds at least the whole intersection. Every differing parity bit needs
+    an element that only one of the sets has, and of these linked sets have at most (100 - percent) in (100 + percent) of
+    their sizes' sum. So neither test loses a link."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    x, y = F.col(f"{a}.parity"), F.col(f"{b}.parity")
+    apart = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        apart = apart + F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i)))
     near = _distance(F.col(f"{a}.signature"), F.col(f"{b}.signature"), settings) <= settings.distance
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * settings.percent) & near
+    return (
+        (F.least(n, m) * 100 >= F.greatest(n, m) * settings.percent)
+        & (apart * (100 + settings.percent) <= (n + m) * (100 - settings.percent))
+        & near
+    )
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, settings: Settings) -> DataFrame:
@@ -269,8 +288,8 @@ def linked(documents: DataFrame, nodes: DataFrame, settings: Settings) -> DataFr
     )
     rest = (
         labelled.join(mixed, "key", "left_semi")
-        .join(nodes.select("node", "n_shingles", "signature"), "node")
-        .select("key", "node", "label", "n_shingles", "signature")
+        .join(nodes.select("node", "n_shingles", "signature", "parity"), "node")
+        .select("key", "node", "label", "n_shingles", "signature", "parity")
     )
     rest = base.stored(rest, "mixed-buckets")
     x, y = rest.alias("x"), rest.alias("y")
@@ -290,7 +309,7 @@ def deduplicate(documents: DataFrame, settings: Settings = Settings()) -> DataFr
     rows = base.stored(signatures(documents, settings), "signatures")
     nodes = (
         rows.where("node IS NOT NULL").groupBy("node")
-        .agg(F.min(F.struct("id", "text_hash", "n_shingles", "signature")).alias("r"))
+        .agg(F.min(F.struct("id", "text_hash", "n_shingles", "signature", "parity")).alias("r"))
         .select("node", "r.*")
     )
     nodes = base.stored(nodes, "classes")
