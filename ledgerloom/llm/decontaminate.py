@@ -7,7 +7,7 @@ and each word knows its greatest weight in every block.
 **Queries.** A text's passages are windows of twice the longest item's words, each starting half a window after
 the last, so that any item lies wholly inside one. For each window and block, the sum of the window's
 greatest weights bounds every score in it: most blocks are skipped at once. Words in many items count
-once in that bound whether or not they occur. In the remaining blocks, WAND moves cursors over the postings of
+once a window in that bound, others each time they occur. In the remaining blocks, WAND moves cursors over the postings of
 the window's words, skipping items whose bound stays under the threshold, and yields *all* items at or above it.
 
 **Verification.** An item splits into question and answer (its last sentence). A retrieved item is a leak if enough of the word
@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,11 +79,13 @@ class Index:
     settings: Settings
     items: list[int]
     vocabulary: dict[str, int]
-    #: Postings by word: item numbers in order, and their weights.
-    postings: list[tuple[list[int], list[float]]]
-    #: Greatest weight by word and block; 0 for common words, whose weights `always` adds up.
+    #: For each block, its words' greatest weight and postings: (item number, weight) in order.
+    postings: list[dict[int, tuple[float, list[tuple[int, float]]]]]
+    #: Greatest weight by word and block; 0 for common words, which have a table of their own.
     block_top: np.ndarray
-    always: np.ndarray
+    common_top: np.ndarray
+    #: Row of each word in `common_top`; -1 for other words.
+    common_row: np.ndarray
     window: int
     questions: list[set] = field(default_factory=list)
     answers: list[set] = field(default_factory=list)
@@ -97,8 +100,8 @@ class Index:
         total, average = len(found), sum(len(w) for _, w, _ in found) / len(found)
         frequency = Counter(w for _, words, _ in found for w in set(words))
         vocabulary = {w: n for n, w in enumerate(sorted(frequency))}
-        postings: list[tuple[list[int], list[float]]] = [([], []) for _ in vocabulary]
         blocks = -(-total // settings.block)
+        postings: list[dict] = [{} for _ in range(blocks)]
         top = np.zeros((len(vocabulary) + 1, blocks), dtype=np.float32)
         for number, (_, words, _) in enumerate(found):
             scale = settings.k1 * (1 - settings.b + settings.b * len(words) / average)
@@ -109,16 +112,19 @@ class Index:
             full = sum(weight.values())
             for w, v in weight.items():
                 at = vocabulary[w]
-                postings[at][0].append(number)
-                postings[at][1].append(v / full)
-                top[at, number // settings.block] = max(top[at, number // settings.block], v / full)
-        often = [vocabulary[w] for w, c in frequency.items() if c > max(1, settings.common * total)]
-        always = top[often].sum(axis=0)
+                block = number // settings.block
+                bound, listed = postings[block].get(at, (0.0, []))
+                postings[block][at] = (max(bound, v / full), [*listed, (number, v / full)])
+                top[at, block] = max(top[at, block], v / full)
+        often = sorted(vocabulary[w] for w, c in frequency.items() if c > max(1, settings.common * total))
+        row = np.full(len(vocabulary) + 1, -1)
+        row[often] = np.arange(len(often))
+        common = top[often].copy()
         top[often] = 0
         split = [parts(text) for _, _, text in found]
         longest = max(len(w) for _, w, _ in found)
         return cls(
-            settings, [i for i, _, _ in found], vocabulary, postings, top, always,
+            settings, [i for i, _, _ in found], vocabulary, postings, top, common, row,
             2 * max(longest, settings.least_window // 2), [grams(q) for q, _ in split], [grams(a) for _, a in split],
         )
 
@@ -134,46 +140,49 @@ class Index:
         windows = max(1, -(-len(words) // step) - 1)
         for first in range(0, windows, stretch):
             last = min(windows, first + stretch)
-            for w, blocks in self._open_blocks(words, first, last, step):
-                passage = words[w * step : w * step + self.window]
-                for item, score in self.retrieve(passage, blocks):
-                    have = grams(passage)
+            for w, codes, blocks in self._open_blocks(words, first, last, step):
+                for item, score in self.retrieve(codes, blocks):
+                    have = grams(words[w * step : w * step + self.window])
                     q, a = _share(self.questions[item], have), _share(self.answers[item], have)
                     if q >= self.settings.question and a >= self.settings.answer:
                         best = (score, q, a, -w * step)
                         found[item] = max(found.get(item, best), best)
         return [(self.items[i], -at, min(1.0, s), q, a) for i, (s, q, a, at) in sorted(found.items())]
 
-    def _open_blocks(self, words: list[str], first: int, last: int, step: int) -> Iterator[tuple[int, list[int]]]:
-        """Windows and the blocks whose bound reaches the threshold."""
+    def _open_blocks(self, words: list[str], first: int, last: int, step: int) -> Iterator[tuple[int, set[int], list[int]]]:
+        """Windows with their words' codes, and the blocks whose bound reaches the threshold."""
         begin, end = first * step, min(len(words), (last - 1) * step + self.window)
         none = len(self.vocabulary)
-        get = self.vocabulary.get
-        codes = np.fromiter((get(w, none) for w in words[begin:end]), dtype=np.int64, count=end - begin)
-        places = np.flatnonzero(codes < none)
+        own = words[begin:end]
+        codes = np.fromiter(map(self.vocabulary.get, own, repeat(none)), dtype=np.int64, count=len(own))
+        row = self.common_row[codes]
+        # Common words count once in a window: which of them each half window holds.
+        often = np.flatnonzero(row >= 0)
+        halves = np.zeros((last - first + 1, len(self.common_top)), dtype=bool)
+        halves[np.minimum(often // step, last - first), row[often]] = True
+        bound = (halves[:-1] | halves[1:]).astype(np.float32) @ self.common_top
+        # Other words count each time, which is still a bound.
+        places = np.flatnonzero((codes < none) & (row < 0))
         sums = np.zeros((len(places) + 1, self.block_top.shape[1]), dtype=np.float32)
         np.cumsum(self.block_top[codes[places]], axis=0, out=sums[1:])
         starts = np.arange(last - first) * step
         low = np.searchsorted(places, starts)
         high = np.searchsorted(places, starts + self.window)
         # A little under the threshold, for the sums' rounding.
-        hit = sums[high] - sums[low] + self.always >= self.settings.threshold - 1e-3
+        hit = sums[high] - sums[low] + bound >= self.settings.threshold - 1e-3
         for w in np.flatnonzero(hit.any(axis=1)):
-            yield first + int(w), np.flatnonzero(hit[w]).tolist()
+            begin = int(w) * step
+            yield first + int(w), set(codes[begin : begin + self.window].tolist()), np.flatnonzero(hit[w]).tolist()
 
-    def retrieve(self, passage: list[str], blocks: list[int]) -> list[tuple[int, float]]:
+    def retrieve(self, codes: set[int], blocks: list[int]) -> list[tuple[int, float]]:
         """All items of the blocks that score at least the threshold, by WAND within each block."""
-        codes = sorted({c for w in passage if (c := self.vocabulary.get(w)) is not None})
+        threshold = self.settings.threshold - 1e-9
         out = []
         for block in blocks:
-            first, last = block * self.settings.block, (block + 1) * self.settings.block
-            cursors = []
-            for c in codes:
-                numbers, weights = self.postings[c]
-                own = [(n, v) for n, v in zip(numbers, weights, strict=True) if first <= n < last]
-                if own:
-                    cursors.append([own[0][0], 0, max(v for _, v in own), own])
-            out += _wand(cursors, self.settings.threshold - 1e-9)
+            own = self.postings[block]
+            shared = [own[c] for c in (codes & own.keys())]
+            if sum(bound for bound, _ in shared) >= threshold:
+                out += _wand([[listed[0][0], 0, bound, listed] for bound, listed in shared], threshold)
         return out
 
 
