@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
@@ -42,7 +44,7 @@ class Settings:
 
     chunk: int = 32_768
     overlap: int = 512
-    remembered: int = 400_000
+    remembered: int = 300_000
     #: Longer pieces are encoded without being remembered.
     remembered_length: int = 64
 
@@ -59,25 +61,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     Pairs wait in a heap, links tell neighbours, so a piece of n bytes takes n log n steps."""
     if piece in ranks:
         return [ranks[piece]]
-    if len(piece) < 24:
+    if len(piece) < 48:
         return _merge_short(piece, ranks)
     return _merge_long(piece, ranks)
 
 
 def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [ranks.get(parts[i] + parts[i + 1], -1) for i in range(len(parts) - 1)]
-    while True:
-        best = min((r for r in pairs if r >= 0), default=-1)
-        if best < 0:
-            return [ranks[p] for p in parts]
+    """Ranks of all adjacent pairs in a list, which a short piece searches fastest as a whole."""
+    get, none = ranks.get, len(ranks) + 256
+    edges = list(range(len(piece) + 1))
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (best := min(pairs)) < none:
         i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i > 0:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], -1)
+        del edges[i + 1], pairs[i]
+        if i:
+            pairs[i - 1] = get(piece[edges[i - 1] : edges[i + 1]], none)
         if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], -1)
+            pairs[i] = get(piece[edges[i] : edges[i + 2]], none)
+    return [ranks[piece[a:b]] for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -108,17 +109,26 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Encoded pieces by their text, as little-endian 32-bit ids."""
+    """Encoded pieces by their text, as little-endian 32-bit ids.
+
+    At most `remembered` pieces are held, and as many of the generation before, whose used ones move up."""
 
     def __init__(self, ranks: dict[bytes, int], settings: Settings):
         super().__init__()
         self.ranks = ranks
         self.settings = settings
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode("utf-8"), self.ranks), dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            made = array("I", merge(piece.encode("utf-8"), self.ranks))
+            if sys.byteorder == "big":
+                made.byteswap()
+            ids = made.tobytes()
         if len(piece) <= self.settings.remembered_length:
             if len(self) >= self.settings.remembered:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
