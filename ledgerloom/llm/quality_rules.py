@@ -206,7 +206,9 @@ def judge(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def passing(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    kept = judge(documents, limits).where("kept").select("doc_id", "row_key").distinct().alias("k")
+    # Written first: a filter pushed into the plan would repeat the figures' expressions inside one another.
+    judged = base.stored(judge(documents, limits), "judged")
+    kept = judged.where("kept").select("doc_id", "row_key").distinct().alias("k")
     rows = documents.withColumn("_row_key", _row_hash(base.text_of())).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._row_key") == F.col("k.row_key"))
     return rows.join(kept, same, "left_semi").drop("_row_key")
