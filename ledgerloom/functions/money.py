@@ -82,9 +82,10 @@ def format_currency(value: Column) -> Column:
 
 def format_percentage(value: Column, total: Column) -> Column:
     """One-decimal percent text: '0%' for an empty total, 'N/A' for what is not a number."""
-    part = value.cast("string").try_cast("decimal(24,4)")
-    whole = total.cast("string").try_cast("decimal(24,4)")
-    blank = total.isNull() | (total.cast("string") == "") | (whole == 0)
+    # Ten decimals leave the quotient eight of its own; a text total is no number that can be zero.
+    part = value.cast("string").try_cast("decimal(30,10)")
+    whole = total.cast("string").try_cast("decimal(30,10)")
+    blank = total.isNull() | (total.cast("string") == "") | ((whole == 0) & (F.typeof(total) != "string"))
     share = F.when(whole != 0, part / whole) * F.lit(100)
     return (
         F.when(F.coalesce(blank, F.lit(False)), F.lit("0%"))

@@ -63,10 +63,16 @@ def _changes(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return spark.read.parquet(args.changes)
 
 
+def _show(result: DataFrame, most: int = 1000) -> None:
+    """Print a report, and say how many rows the print leaves out."""
+    result.show(most, truncate=False)
+    if (rows := result.count()) > most:
+        print(f"{rows - most} more rows; give --out to write them all")
+
+
 def sync(spark: SparkSession, args: argparse.Namespace) -> None:
     deleted = spark.read.parquet(args.deleted) if args.deleted else None
-    options = {} if args.full else {"deleted_keys": deleted}
-    result = load.load(_store(spark, args), _source(spark, args), args.full, **options)
+    result = load.load(_store(spark, args), _source(spark, args), args.full, deleted_keys=deleted)
     print(f"{result.rows} projects loaded, newest stamp {result.watermark}")
 
 
@@ -85,7 +91,7 @@ def validate(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def summary(spark: SparkSession, args: argparse.Namespace) -> None:
-    reports.regional_absorption(_source(spark, args), args.year).show(1000, truncate=False)
+    _show(reports.regional_absorption(_source(spark, args), args.year))
 
 
 def listing(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -97,7 +103,9 @@ def listing(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def detail(spark: SparkSession, args: argparse.Namespace) -> None:
     keys = spark.createDataFrame([(k,) for k in args.ids], "id_root string")
-    shape.detail(filters.by_keys(_source(spark, args), keys)).show(truncate=False, vertical=True)
+    shape.detail(filters.by_keys(_source(spark, args), keys)).show(
+        len(args.ids), truncate=False, vertical=True
+    )
 
 
 def report(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -108,7 +116,7 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.out:
         result.write.mode("overwrite").parquet(args.out)
     else:
-        result.show(1000, truncate=False)
+        _show(result)
 
 
 def change(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -127,7 +135,9 @@ def change(spark: SparkSession, args: argparse.Namespace) -> None:
         after, refused = ch.set_months(led, changes, args.kind), ch.month_rejects(changes)
     after.write.mode("errorifexists").parquet(args.out)
     if refused is not None:
-        refused.show(50, truncate=False)
+        path = args.rejects or f"{args.out}-refused"
+        refused.write.mode("errorifexists").parquet(path)
+        print(f"{spark.read.schema(refused.schema).parquet(path).count()} changes refused, see {path}")
     if args.feed:
         written = tables.read_ledger(spark, args.out)
         compare.change_events(led, written).select("payload").write.mode("append").text(args.feed)
@@ -209,6 +219,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--changes", required=True)
     sub.add_argument("--out", required=True)
     sub.add_argument("--feed", help="folder to append the change events to")
+    sub.add_argument("--rejects", help="table of the refused changes; beside --out by default")
     sub = job(follow, store=True)
     sub.add_argument("--feed", required=True)
     sub.add_argument("--checkpoint", required=True)

@@ -47,10 +47,15 @@ def dedup_latest(
 
 
 def last_operation(feed: DataFrame, seq: str | None = "seq") -> DataFrame:
-    """Last operation per id, by event time and then arrival."""
+    """Last operation per id, by event time and then arrival.
+
+    Events of one transaction share a stamp. Where no arrival order parts them either, a deletion
+    gives way: the other operations lead to the source row, which is there or not.
+    """
     order = [F.col("timestamp").desc_nulls_last()]
     if seq and seq in feed.columns:
         order.append(F.col(seq).desc_nulls_last())
+    order.append(F.coalesce(F.col("operation") == "DELETE", F.lit(False)).asc())
     return newest_per_key(feed.where(F.col("id_root") != ""), ["id_root"], order)
 
 
@@ -244,10 +249,28 @@ def cascade_delete(monitoring: DataFrame, deleted: DataFrame) -> DataFrame:
 
 
 def cascade_rename(rows: DataFrame, renames: DataFrame) -> DataFrame:
-    """Follow key renames given as (old_id, new_id); works for the ledger and its children."""
-    moved = renames.select(F.col("old_id").alias("id_root"), "new_id")
+    """Follow key renames given as (old_id, new_id); works for the ledger and its children.
+
+    An id that is to get several new names keeps its own; ``rename_rejects`` lists such renames.
+    """
+    moved = (
+        renames.groupBy(F.col("old_id").alias("id_root"))
+        .agg(F.min("new_id").alias("new_id"), F.max("new_id").alias("other"))
+        .where(F.col("new_id") == F.col("other"))
+        .drop("other")
+    )
     return (
         rows.join(moved, "id_root", "left")
         .withColumn("id_root", F.coalesce("new_id", "id_root"))
         .select(*rows.columns)
     )
+
+
+def rename_rejects(renames: DataFrame) -> DataFrame:
+    """Renames that are not followed: ids with several new names, with the reason."""
+    several = (
+        renames.groupBy("old_id")
+        .agg(F.min("new_id").alias("least"), F.max("new_id").alias("most"))
+        .where(F.col("least") != F.col("most"))
+    )
+    return renames.join(several, "old_id", "left_semi").withColumn("reason", F.lit("several_names"))

@@ -17,7 +17,11 @@ WIDE_ROW_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings wide ledgers want; call it on the cluster's session."""
+    """Apply the run-time settings wide ledgers want; call it on the cluster's session.
+
+    The layout of the store relies on adaptive execution to split a hot year.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
     for key, value in WIDE_ROW_SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -53,9 +53,23 @@ Reports = Mapping[str, Callable[[DataFrame], DataFrame]]
 
 
 def publish(led: DataFrame, reports: Reports, out: str) -> None:
-    """Write each report of the ledger to its own table under ``out``."""
+    """Write each report of the ledger as the next numbered folder of its own table under ``out``.
+
+    What is published stays until the next but one is finished, so readers always find a whole report.
+    """
+    spark = led.sparkSession
     for name, report in reports.items():
-        report(led).write.mode("overwrite").parquet(f"{out}/{name}")
+        known = [int(n[6:]) for n in files.names(spark, f"{out}/{name}") if n.startswith("batch=")]
+        number = max(known, default=-1) + 1
+        report(led).write.parquet(f"{out}/{name}/batch={number}")
+        for old in files.finished_batches(spark, f"{out}/{name}"):
+            if old < number - 1:
+                files.drop(spark, f"{out}/{name}/batch={old}")
+
+
+def read_published(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A report as last published in full."""
+    return read_summary(spark, f"{out}/{name}")
 
 
 def start_refresh(

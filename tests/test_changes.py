@@ -222,3 +222,12 @@ def test_counts(make):
     led = ledger(make, "A", "B", "C")
     assert rows(compare.sync_counts(led, led.where("id_root = 'A'"))) == [(3, 1, 2, False)]
     assert rows(compare.sync_counts(led.where("false"), led.where("false"))) == [(0, 0, 0, True)]
+
+
+def test_an_id_with_several_new_names_keeps_its_own(spark):
+    children = spark.createDataFrame([("X", 1), ("Y", 2)], "id_root string, n int")
+    renames = spark.createDataFrame([("X", "Y1"), ("X", "Z1"), ("Y", "W"), ("Y", "W")], "old_id string, new_id string")
+    assert rows(ch.cascade_rename(children, renames)) == [("W", 2), ("X", 1)]
+    assert rows(ch.rename_rejects(renames), "old_id", "new_id", "reason") == [
+        ("X", "Y1", "several_names"), ("X", "Z1", "several_names"),
+    ]

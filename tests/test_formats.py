@@ -74,3 +74,9 @@ def test_month_number(spark):
 def test_label(spark):
     assert value_of(spark, labels.or_label(F.lit(""), "none")) == "none"
     assert value_of(spark, labels.or_label(F.lit("x"), "none")) == "x"
+
+
+def test_percentage_at_full_precision(spark):
+    assert value_of(spark, money.format_percentage(F.lit("0.00001"), F.lit("0.00004"))) == "25.0%"
+    assert value_of(spark, money.format_percentage(F.lit("1"), F.lit("0"))) == "N/A"
+    assert value_of(spark, money.format_percentage(F.lit(1), F.lit(0))) == "0%"
