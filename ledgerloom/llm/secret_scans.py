@@ -79,12 +79,12 @@ def features(candidate: Column, before: Column, after: Column) -> dict[str, Colu
     size = F.length(candidate)
     share = lambda pattern: F.length(F.regexp_replace(candidate, pattern, "")) / size
     lower = F.lower(candidate)
-    at = F.sequence(F.lit(1), size - 1)
     kinds = F.translate(
         candidate, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-", "a" * 26 + "A" * 26 + "0" * 10 + "+" * 5
     )
-    changes = F.size(F.filter(at, lambda i: F.substring(kinds, i, F.lit(1)) != F.substring(kinds, i + 1, F.lit(1))))
-    pairs = F.size(F.filter(at, lambda i: F.substring(lower, i, F.lit(2)).isin(PAIRS)))
+    # Patterns pass over a candidate once, however long it is.
+    changes = F.length(F.regexp_replace(kinds, r"(.)\1*+", "x")) - 1
+    pairs = F.regexp_count(lower, F.lit(f"(?={'|'.join(PAIRS)})"))
     words = sorted(DICTIONARY, key=lambda w: (-len(w), w))
     uncovered = F.length(F.regexp_replace(lower, "|".join(words), ""))
     near = F.lower(F.right(before, F.lit(40)))

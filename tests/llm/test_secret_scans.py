@@ -1,0 +1,48 @@
+import hashlib
+import random
+import re
+
+from ledgerloom.llm import secret_scans as ss
+from tests.llm.support import documents
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def test_forest_on_unseen_findings(spark):
+    rows = ss.training_rows(spark, ss.labelled_findings(2_400)[1_600:])
+    forest = ss._forest(spark, ss.Settings())
+    right = [(sum(t.value(r) for t in forest) / len(forest) >= 0.5) == bool(r[-1]) for r in rows]
+    assert sum(right) >= 0.93 * len(right)
+
+
+def test_places_and_masks(spark):
+    text = f'é token = "{HEX}" and api_key="{HEX[::-1]}", again token = "{HEX}".'
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, "plain words " * 20_000), (5, "z" * 50_000), (None, text)]
+    df = documents(spark, rows, start=1, score="x", f=2)
+    found = ss.findings(df).collect()
+    assert sorted((str(r.doc_id), text[r.start : r.start + r.length]) for r in found) == sorted(
+        (i, s) for i in ("1", "1", "None") for s in (HEX, HEX[::-1], HEX))
+    assert all(r.secret_sha256 == hashlib.sha256(text[r.start : r.start + r.length].encode()).hexdigest() for r in found)
+    masked = ss.redacted(df)
+    assert masked.columns == df.columns and masked.count() == len(rows)
+    got = {r.doc_id: r for r in masked.collect()}
+    assert got[1].text == text.replace(HEX, "[secret]").replace(HEX[::-1], "[secret]") and got[1].n_chars == len(got[1].text)
+    assert got[2].text is None and got[3].text == "" and got[4].text == rows[4][1] and got[5].n_chars == 50_000
+
+
+def test_look_alikes_stay(spark):
+    rng = random.Random(3)
+    texts = [
+        "Die Donaudampfschifffahrtsgesellschaft und Rechtsschutzversicherungsgesellschaften",
+        "see https://example.org/articles/2024/how-to-write-a-good-title", "class AbstractSingletonProxyFactoryBean",
+        "----------------------------------", "commit " + HEX, "card 4785380592391139", "sha1: " + HEX,
+        "password = your_password_goes_here", " ".join("".join(rng.choice("aeiou") + rng.choice("nrst") for _ in range(10)) for _ in range(30)),
+    ]
+    assert ss.findings(documents(spark, list(enumerate(texts)))).collect() == []
+    assert ss.findings(documents(spark, [])).count() == 0
+
+
+def test_plan_has_no_python_and_no_shuffle(spark):
+    for df in (ss.findings(documents(spark, [(1, "a")])), ss.redacted(documents(spark, [(1, "a")]))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|Exchange|Join", plan)
