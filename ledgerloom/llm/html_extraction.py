@@ -69,6 +69,11 @@ LABELLED = (
     (0, 0, 0, 5, 0.0, 40, 0.0, 55, 0.0, 1), (0, 0, 0, 30, 0.1, 3, 1.0, 2, 1.0, 1), (0, 0, 0, 3, 1.0, 2, 1.0, 3, 1.0, 0),
     (0, 0, 0, 2, 0.0, 3, 1.0, 2, 1.0, 0), (0, 0, 0, 12, 0.9, 9, 0.8, 14, 1.0, 0), (0, 0, 0, 4, 0.0, 2, 1.0, 3, 0.0, 0),
     (0, 0, 0, 6, 0.5, 40, 0.0, 0, 0.0, 0), (0, 0, 0, 3, 0.0, 5, 0.0, 2, 0.0, 0), (0, 0, 0, 40, 0.7, 20, 0.8, 30, 0.9, 0),
+    (0, 0, 1, 50, 0.0, 40, 0.0, 60, 0.0, 0), (0, 0, 1, 30, 0.0, 9, 0.0, 45, 0.0, 0), (0, 0, 1, 90, 0.0, 80, 0.0, 50, 0.0, 0),
+    (0, 0, 1, 12, 0.0, 2, 1.0, 40, 0.0, 0), (0, 0, 1, 33, 0.0, 30, 0.0, 70, 0.0, 0), (0, 0, 1, 6, 0.0, 0, 0.0, 80, 0.0, 0),
+    (0, 0, 0, 24, 0.0, 3, 0.5, 4, 0.8, 1), (0, 0, 0, 55, 0.1, 12, 0.9, 6, 1.0, 1), (0, 0, 0, 20, 0.0, 18, 0.0, 2, 0.0, 1),
+    (0, 0, 0, 27, 0.0, 2, 1.0, 28, 0.0, 1), (0, 0, 0, 27, 0.0, 30, 0.0, 2, 1.0, 1), (0, 0, 0, 35, 0.0, 0, 0.0, 0, 0.0, 1),
+    (0, 0, 0, 60, 0.0, 4, 1.0, 3, 1.0, 1), (0, 0, 0, 18, 0.0, 25, 0.0, 22, 0.0, 1), (0, 0, 0, 14, 0.9, 30, 0.0, 28, 0.0, 0),
     (0, 1, 0, 40, 0.0, 30, 0.0, 50, 0.0, 0), (0, 1, 0, 4, 1.0, 3, 1.0, 5, 1.0, 0), (0, 1, 0, 90, 0.0, 80, 0.0, 60, 0.0, 0),
 )
 
