@@ -163,7 +163,7 @@ class Voters:
                 if mask:
                     hits += n
                     kinds += 1
-        big = sum(map(str.isupper, raw)) if len(raw) < 200_000 else len(re.findall(r"[A-Z]", raw))
+        big = sum(map(str.isupper, raw))
         flags = (kinds >= 2, 100 * hits >= len(words) > 0, 2 * big > len(raw), raw.count("!!") >= 3)
         for i, flag in enumerate(flags):
             pattern |= flag << (self.listed + i)
