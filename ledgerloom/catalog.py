@@ -259,6 +259,26 @@ def _upsert(led: DataFrame) -> DataFrame:
     return ch.upsert(current, again).select("id_root", "tahun_rkap", "rkap", "pic", "updated_at")
 
 
+def _upsert_new_keys(led: DataFrame) -> DataFrame:
+    """Years up to 1997 are on the books; 1996 and later come in twice, re-stamped, so some keys are new and all repeat."""
+    current = conform(led)
+    again = current.where(F.col("tahun_rkap") >= 1996)
+    versions = [
+        again.withColumn("pic", F.lit(name)).withColumn("updated_at", F.timestamp_add("DAY", F.lit(days), F.col("updated_at")))
+        for name, days in (("first", -30), ("second", 30))
+    ]
+    merged = ch.upsert(current.where(F.col("tahun_rkap") <= 1997), versions[0].unionByName(versions[1]))
+    return merged.select("id_root", "tahun_rkap", "rkap", "pic", "updated_at")
+
+
+def _change_rejects(led: DataFrame, feed: DataFrame) -> DataFrame:
+    """Monthly changes to the books' years, every fiftieth without an id."""
+    key = F.when(F.col("seq") % 50 != 0, F.col("id_root"))
+    books = led.where(F.col("tahun_rkap") <= KEPT_YEAR)
+    refused = ch.refused_changes(books, feed.withColumn("id_root", key), ch.bad_month(), "bad_month")
+    return refused.select("id_root", "seq", "reason")
+
+
 def _changed_ledger(led: DataFrame, feed: DataFrame) -> DataFrame:
     """The source after the feed: monthly actuals set, deleted projects gone."""
     return ch.delete_keys(ch.set_months(led, feed, "realisasi", _at(STAMP)), _deleted(feed))
@@ -328,7 +348,9 @@ CHANGES: dict[str, Query] = {
     "delete_keys": _with_feed(
         lambda led, feed: shape.listing(ch.delete_keys(led, _deleted(feed)))
     ),
+    "change_rejects": _with_feed(_change_rejects),
     "upsert": _on_source(_upsert),
+    "upsert_new_keys": _on_source(_upsert_new_keys),
     "snapshot_diff": _with_feed(_snapshot_diff),
     "monitoring_orphans": _on_monitoring(
         lambda mon, led: ch.orphans(mon, led).select("id", "id_root")
@@ -417,9 +439,9 @@ def stored_year_summary(spark: SparkSession, sf: str) -> DataFrame:
     return comparable(reports.regional_summary(store.read(), 1998))
 
 
-def _payloads(events: DataFrame) -> DataFrame:
-    """Event rows as JSON texts; some views are cut short, some clicks lack an id."""
-    whole = feeds.payload(F.col("operation"), F.col("id_root"), F.col("timestamp"))
+def _payloads(events: DataFrame, unit: str = "MICROSECOND") -> DataFrame:
+    """Event rows as JSON texts, their stamps cut to a unit; some views are cut short, some clicks lack an id."""
+    whole = feeds.payload(F.col("operation"), F.col("id_root"), F.date_trunc(unit, F.col("timestamp")))
     anonymous = F.to_json(F.struct("operation"))
     kind, number = F.col("event_type"), F.col("event_id")
     text = (
@@ -453,25 +475,53 @@ def _run(query) -> None:
         query.stop()
 
 
-def _apply(spark: SparkSession, sf: str, root: str) -> LedgerStore:
-    store = LedgerStore(spark, f"{root}/store")
-    load.full_load(store, fixture.ledger(spark, sf), "daemon")
+def _tail(spark: SparkSession, sf: str, store: LedgerStore, root: str, events: DataFrame | None = None) -> None:
+    """Follow the feed to its end, with a checkpoint of its own under ``root``."""
 
     def read_source() -> DataFrame:
         return _changed_ledger(fixture.ledger(spark, sf), _good_feed(spark, sf))
 
     _run(
         apply.start_apply(
-            store, _payload_stream(spark, sf), read_source, f"{root}/checkpoint",
+            store, _payload_stream(spark, sf) if events is None else events, read_source, f"{root}/checkpoint",
             rejects_path=f"{root}/rejects", trigger={"availableNow": True},
         )
     )
-    return store
 
 
 def stream_apply(spark: SparkSession, sf: str) -> DataFrame:
     """The stored ledger after the feed was followed to its end."""
-    return _loaded(_apply(spark, sf, new_workspace(spark, "apply")))
+    root = new_workspace(spark, "apply")
+    store = LedgerStore(spark, f"{root}/store")
+    load.full_load(store, fixture.ledger(spark, sf), "daemon")
+    _tail(spark, sf, store, root)
+    return _loaded(store)
+
+
+def stream_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``stream_apply`` over several micro-batches, with one stamp for all of a month's events, in any order."""
+    root = new_workspace(spark, "ties")
+    store = LedgerStore(spark, f"{root}/store")
+    load.full_load(store, fixture.ledger(spark, sf), "daemon")
+    events = _payloads(fixture.table(spark, sf, "events"), "MONTH")
+    by_id = events.repartitionByRange(4, F.coalesce(F.get_json_object("payload", "$.id_root"), F.lit("")))
+    by_id.select("payload").write.text(f"{root}/in")
+    _tail(spark, sf, store, root, feeds.text_stream(spark, f"{root}/in", maxFilesPerTrigger="1"))
+    return _loaded(store)
+
+
+def mixed_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """Sync, stream, sync, full load and a stream with a new checkpoint, by turns: the source after the feed."""
+    root = new_workspace(spark, "mixed")
+    store = LedgerStore(spark, f"{root}/store")
+    led = fixture.ledger(spark, sf)
+    final = _changed_ledger(led, _good_feed(spark, sf))
+    load.load(store, led.where(F.col("updated_at") <= _at(LOADED_UNTIL)), profile="daemon")
+    _tail(spark, sf, store, f"{root}/first")
+    load.load(store, final, profile="daemon")
+    load.load(store, led, full=True, profile="daemon")
+    _tail(spark, sf, store, f"{root}/second")
+    return _loaded(store)
 
 
 def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
@@ -490,26 +540,39 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").select("seq", "reason")
 
 
-def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """The insert-fed view: every row once, and the re-synced rows once more."""
-    root = new_workspace(spark, "summary")
-    led, feed = fixture.ledger(spark, sf), fixture.feed(spark, sf)
-    resynced = filters.by_keys(
-        _changed_ledger(led, feed),
-        ch.last_operation(feed).where(F.col("operation") != "DELETE"),
-    )
-    columns = ["tahun_rkap", "klaster_regional", "rkap", "total_realisasi", "nilai_kontrak"]
-    for part in (led, resynced):
-        conform(part, "daemon").select(columns).write.mode("append").parquet(f"{root}/inserts")
-    schema = T.StructType([f for f in CONFORMED_LEDGER.fields if f.name in columns])
-    inserted = spark.readStream.schema(schema).parquet(f"{root}/inserts")
-    _run(
-        summaries.start_summary(
-            inserted, "budget_actual", f"{root}/out", f"{root}/checkpoint", {"availableNow": True}
+# What the insert-fed views read of a ledger row.
+SUMMARY_INPUTS = {
+    "budget_actual": ["tahun_rkap", "klaster_regional", "rkap", "total_realisasi", "nilai_kontrak"],
+    "progress": ["tahun_rkap", "klaster_regional", "entitas_terminal", "status_investasi"],
+    "issues": ["tahun_rkap", "klaster_regional", "status_issue", "issue_description"],
+    "monthly": ["tahun_rkap", "klaster_regional", *MONTHLY["realisasi"]],
+    "investment_type": ["tahun_rkap", "type_investasi", "rkap", "nilai_kontrak"],
+}
+
+
+def _stream_summary(view: str) -> Query:
+    """An insert-fed view: every row once, and the re-synced rows once more."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        root = new_workspace(spark, "summary")
+        led, feed = fixture.ledger(spark, sf), fixture.feed(spark, sf)
+        resynced = filters.by_keys(
+            _changed_ledger(led, feed),
+            ch.last_operation(feed).where(F.col("operation") != "DELETE"),
         )
-    )
-    view = summaries.read_summary(spark, f"{root}/out")
-    return comparable(views.merged(view, "budget_actual"))
+        columns = SUMMARY_INPUTS[view]
+        for part in (led, resynced):
+            conform(part, "daemon").select(columns).write.mode("append").parquet(f"{root}/inserts")
+        schema = T.StructType([f for f in CONFORMED_LEDGER.fields if f.name in columns])
+        inserted = spark.readStream.schema(schema).parquet(f"{root}/inserts")
+        _run(
+            summaries.start_summary(
+                inserted, view, f"{root}/out", f"{root}/checkpoint", {"availableNow": True}
+            )
+        )
+        return comparable(views.merged(summaries.read_summary(spark, f"{root}/out"), view))
+
+    return run
 
 
 LOADS: dict[str, Query] = {
@@ -519,7 +582,10 @@ LOADS: dict[str, Query] = {
     "stored_year_summary": stored_year_summary,
     "stream_apply": stream_apply,
     "stream_rejects": stream_rejects,
-    "stream_summary": stream_summary,
+    "stream_ties": stream_ties,
+    "mixed_writers": mixed_writers,
+    "stream_summary": _stream_summary("budget_actual"),
+    **{f"stream_summary_{view}": _stream_summary(view) for view in SUMMARY_INPUTS if view != "budget_actual"},
 }
 
 QUERIES: dict[str, Query] = {**REPORTS, **SHAPES, **CHANGES, **QUALITY, **LOADS}

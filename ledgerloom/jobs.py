@@ -121,7 +121,7 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def change(spark: SparkSession, args: argparse.Namespace) -> None:
     led, changes = _source(spark, args), _changes(spark, args)
-    refused = None
+    refused = ch.refused_changes(led, changes)
     if args.kind == "insert":
         after, refused = ch.insert_rows(led, strip_texts(fill_defaults(changes)))
     elif args.kind == "delete":
@@ -130,14 +130,16 @@ def change(spark: SparkSession, args: argparse.Namespace) -> None:
         named = [c for c in led.columns if c in changes.columns and c not in ("id_root", "updated_at")]
         after = ch.partial_update(led, changes, named)
     elif args.kind == "progress":
-        after, refused = ch.update_progress(led, changes), ch.progress_rejects(changes)
+        after = ch.update_progress(led, changes)
+        if "status_issue" in changes.columns:
+            refused = ch.refused_changes(led, changes, ch.bad_status(), "bad_status")
     else:
-        after, refused = ch.set_months(led, changes, args.kind), ch.month_rejects(changes)
+        after = ch.set_months(led, changes, args.kind)
+        refused = ch.refused_changes(led, changes, ch.bad_month(), "bad_month")
     after.write.mode("errorifexists").parquet(args.out)
-    if refused is not None:
-        path = args.rejects or f"{args.out}-refused"
-        refused.write.mode("errorifexists").parquet(path)
-        print(f"{spark.read.schema(refused.schema).parquet(path).count()} changes refused, see {path}")
+    path = args.rejects or f"{args.out}-refused"
+    refused.write.mode("errorifexists").parquet(path)
+    print(f"{spark.read.schema(refused.schema).parquet(path).count()} changes refused, see {path}")
     if args.feed:
         written = tables.read_ledger(spark, args.out)
         compare.change_events(led, written).select("payload").write.mode("append").text(args.feed)

@@ -192,9 +192,13 @@ _BAD_STATUS = "status_issue <> '' AND status_issue NOT IN ({})".format(
 )
 
 
+def bad_status() -> Column:
+    return F.expr(_BAD_STATUS)
+
+
 def progress_rejects(changes: DataFrame) -> DataFrame:
     """Progress changes naming an issue status outside the allowed words."""
-    return changes.where(_BAD_STATUS)
+    return changes.where(bad_status())
 
 
 def update_progress(
@@ -214,9 +218,13 @@ def update_progress(
     return _merge(led, good, setters, order, as_of)
 
 
+def bad_month() -> Column:
+    return F.coalesce(month_number(F.col("bulan")), F.lit(0)) == 0
+
+
 def month_rejects(changes: DataFrame) -> DataFrame:
     """Monthly changes whose month name is unknown or missing."""
-    return changes.where(F.coalesce(month_number(F.col("bulan")), F.lit(0)) == 0)
+    return changes.where(bad_month())
 
 
 def set_months(
@@ -236,6 +244,22 @@ def set_months(
     return _merge(led, numbered, setters, order, as_of)
 
 
+def refused_changes(
+    led: DataFrame, changes: DataFrame, bad: Column | None = None, bad_reason: str = "bad_value"
+) -> DataFrame:
+    """Changes that set nothing, with the ``reason``: no id, what ``bad`` finds, or an id that the ledger does not hold."""
+    key = F.col("id_root")
+    known = known_keys(led, changes.select("id_root").distinct()).withColumn("_known", F.lit(True))
+    reason = F.when(F.coalesce(key, F.lit("")) == "", "missing_id")
+    if bad is not None:
+        reason = reason.when(F.coalesce(bad, F.lit(False)), bad_reason)
+    reason = reason.when(F.col("_known").isNull(), "unknown_id")
+    return (
+        changes.join(known, "id_root", "left").withColumn("reason", reason)
+        .where("reason IS NOT NULL").select(*changes.columns, "reason")
+    )
+
+
 # ---- monitoring rows -----------------------------------------------------------------------
 
 

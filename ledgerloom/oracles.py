@@ -684,6 +684,18 @@ CHANGES = {
         "CASE WHEN jangka_waktu >= 360 THEN updated_at + to_days(jangka_waktu - 360) ELSE updated_at END "
         "AS updated_at FROM conf"
     ),
+    "change_rejects": _q(
+        LED, FEED,
+        "asked AS (SELECT CASE WHEN seq % 50 <> 0 THEN id_root END AS id_root, seq, m FROM feed)",
+        select="SELECT id_root, seq, reason FROM (SELECT id_root, seq, CASE WHEN id_root IS NULL THEN 'missing_id' "
+        "WHEN m = 0 THEN 'bad_month' WHEN id_root NOT IN (SELECT id_root FROM led WHERE tahun_rkap <= 2000) "
+        "THEN 'unknown_id' END AS reason FROM asked) WHERE reason IS NOT NULL",
+    ),
+    "upsert_new_keys": _conformed(
+        "SELECT id_root, tahun_rkap, " + _dbl("rkap", "rkap") + ", "
+        "CASE WHEN tahun_rkap >= 1996 THEN 'second' ELSE pic END AS pic, "
+        "CASE WHEN tahun_rkap >= 1996 THEN updated_at + to_days(30) ELSE updated_at END AS updated_at FROM conf"
+    ),
     "snapshot_diff": _q(
         LED, FEED,
         select="SELECT id_root, operation, id_root AS sent_id FROM (SELECT id_root, "
@@ -832,6 +844,23 @@ GOOD = (
     "ORDER BY timestamp DESC, seq DESC) AS place FROM good) WHERE place = 1 AND operation = 'DELETE')"
 )
 
+_AFTER_FEED = _q(
+    LED, FEED, GOOD, _changed("good", "goodgone"), _conf("daemon", "changed"),
+    select=f"SELECT {LOADED} FROM conf",
+)
+
+
+def _fed(view: str, keys: str, condition: str = "true") -> str:
+    """A view over every row once and the re-synced rows once more."""
+    return _q(
+        LED, FEED, _changed(),
+        "fed AS (SELECT * FROM led UNION ALL SELECT * FROM changed "
+        "WHERE id_root IN (SELECT id_root FROM feed))",
+        _conf("daemon", "fed"),
+        select=f"SELECT {view} FROM conf WHERE {condition} GROUP BY {keys}",
+    )
+
+
 LOADS = {
     "full_load": _conformed(f"SELECT {LOADED} FROM conf"),
     "incremental_load": _AFTER_DELETES,
@@ -839,22 +868,21 @@ LOADS = {
     "stored_year_summary": _conformed(
         f"SELECT {REGIONAL} FROM conf WHERE tahun_rkap = 1998 GROUP BY klaster_regional"
     ),
-    "stream_apply": _q(
-        LED, FEED, GOOD, _changed("good", "goodgone"), _conf("daemon", "changed"),
-        select=f"SELECT {LOADED} FROM conf",
-    ),
+    "stream_apply": _AFTER_FEED,
+    "stream_ties": _AFTER_FEED,
+    "mixed_writers": _AFTER_FEED,
     "stream_rejects": _q(
         FEED,
         select=f"SELECT seq, 'malformed' AS reason FROM feed WHERE {_MALFORMED} "
         f"UNION ALL SELECT seq, 'missing_id' FROM feed WHERE {_ANONYMOUS}",
     ),
-    "stream_summary": _q(
-        LED, FEED, _changed(),
-        "fed AS (SELECT * FROM led UNION ALL SELECT * FROM changed "
-        "WHERE id_root IN (SELECT id_root FROM feed))",
-        _conf("daemon", "fed"),
-        select=f"SELECT {V_BUDGET} FROM conf GROUP BY tahun_rkap, klaster_regional",
+    "stream_summary": _fed(V_BUDGET, "tahun_rkap, klaster_regional"),
+    "stream_summary_progress": _fed(V_PROGRESS, "tahun_rkap, klaster_regional, entitas_terminal"),
+    "stream_summary_issues": _fed(
+        V_ISSUES, "tahun_rkap, klaster_regional, status_issue", "issue_description <> ''"
     ),
+    "stream_summary_monthly": _fed(V_MONTHLY, "tahun_rkap, klaster_regional"),
+    "stream_summary_investment_type": _fed(V_TYPE, "tahun_rkap, type_investasi"),
 }
 
 ORACLES: dict[str, str] = {**REPORTS, **SHAPES, **CHANGES, **QUALITY, **LOADS}

@@ -231,3 +231,17 @@ def test_an_id_with_several_new_names_keeps_its_own(spark):
     assert rows(ch.rename_rejects(renames), "old_id", "new_id", "reason") == [
         ("X", "Y1", "several_names"), ("X", "Z1", "several_names"),
     ]
+
+
+def test_changes_that_hit_nothing_are_reported(spark, make):
+    led = make({"id_root": "A"}, {"id_root": "B"})
+    asked = spark.createDataFrame(
+        [("A", "mei", 1), ("A", "meix", 2), ("Z", "mei", 3), (None, "mei", 4), ("", "mei", 5), ("Z", None, 6)],
+        "id_root string, bulan string, n int",
+    )
+    refused = ch.refused_changes(led, asked, ch.bad_month(), "bad_month")
+    assert rows(refused, "n", "reason") == [
+        (2, "bad_month"), (3, "unknown_id"), (4, "missing_id"), (5, "missing_id"), (6, "bad_month"),
+    ]
+    assert rows(ch.refused_changes(led, asked), "n") == [(3,), (4,), (5,), (6,)]
+    assert ch.refused_changes(led.where("false"), asked.where("false")).count() == 0
