@@ -1,10 +1,10 @@
 """Licence scans through a positional index of rare words, in DataFrame functions only.
 
-Templates are licence notices as word sequences; their index lists, for every word, the template and
-position. For a file, its licence words of highest IDF (document frequencies over the whole corpus)
-are looked up. Each posting gives an offset, file position minus template position; words of one
-notice agree on it. The share of the template's IDF weight that agrees on the best offset is
-the match, and a label also needs the template's mandatory phrases in the file.
+Templates are licence notices as word sequences; of each, the words of highest IDF (document frequencies
+over the whole corpus) are indexed with template and position. All of a file's words in the index
+are looked up, however many notices it holds. Each posting gives an offset, file position minus template
+position; words of one notice agree on it. The share of the template's indexed IDF weight that agrees on
+the best offset is the match, and a label also needs the template's mandatory phrases in the file.
 
 Beside that stands the base: places where a label's phrase stands word by word.
 
@@ -73,9 +73,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class Settings:
     """Production parameters."""
 
-    #: Distinct licence words of a file that are looked up.
+    #: Distinct words of a template that are indexed.
     rarest: int = 12
-    #: Share of the template's looked-up weight that must agree on one offset.
+    #: Share of the template's indexed weight that must agree on one offset.
     least_match: float = 0.6
 
 
@@ -181,30 +181,14 @@ def template_matches(documents: DataFrame, settings: Settings = Settings()) -> D
     spark = documents.sparkSession
     files = base.stored(licence_words(documents), "licence-words")
     idf = inverse_frequencies(documents, files)
-    weights = F.create_map(*[F.lit(x) for w in LICENCE_WORDS for x in (w, idf[w])])
-    postings = spark.createDataFrame(
-        [
-            (w, number, i, idf[w])
-            for number, (_, notice, _) in enumerate(TEMPLATES)
-            for i, w in enumerate(notice.split())
-            if w in idf
-        ],
-        "w string, template int, template_at int, weight double",
-    )
-    rarest = F.transform(
-        F.slice(
-            F.array_sort(
-                F.transform(
-                    F.array_distinct(F.col("found.w")), lambda w: F.struct((-weights[w]).alias("v"), w.alias("w"))
-                )
-            ),
-            1, settings.rarest,
-        ),
-        lambda x: x["w"],
-    )
+    rows = []
+    for number, (_, notice, _) in enumerate(TEMPLATES):
+        words = notice.split()
+        rarest = sorted(idf.keys() & set(words), key=lambda w: (-idf[w], w))[: settings.rarest]
+        rows += [(w, number, i, idf[w]) for i, w in enumerate(words) if w in rarest]
+    postings = spark.createDataFrame(rows, "w string, template int, template_at int, weight double")
     looked_up = (
-        files.withColumn("rarest", rarest)
-        .select("row_key", F.explode(F.filter("found", lambda x: F.array_contains(F.col("rarest"), x["w"]))).alias("x"))
+        files.select("row_key", F.explode("found").alias("x"))
         .select("row_key", F.col("x.w").alias("w"), F.col("x.i").alias("i"))
         .distinct()
     )

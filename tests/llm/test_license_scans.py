@@ -67,3 +67,10 @@ def test_repeated_rows_ids_and_empty_table(spark):
 def test_plan_has_no_python_and_no_pairing(spark):
     plan = ls.scan(documents(spark, [(1, "mit license")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_a_file_of_many_notices_gets_every_label(spark):
+    text = "\n\n".join(f"Part {i}. {notice}." for i, (_, notice, _) in enumerate(ls.TEMPLATES))
+    found = by_id(ls.scan(documents(spark, [(1, text), (2, text * 50)])))
+    for i in (1, 2):
+        assert {label for label, _, _ in ls.TEMPLATES} <= set(found[i]["labels"].split(","))
