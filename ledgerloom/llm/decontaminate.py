@@ -11,7 +11,7 @@ once a window in that bound, others each time they occur. In the remaining block
 the window's words, skipping items whose bound stays under the threshold, and yields *all* items at or above it.
 
 **Verification.** An item splits into question and answer (its last sentence). A retrieved item is a leak if enough of the word
-trigrams of each, question and answer, stand in the window.
+trigrams of each, question and answer, stand in the window; a part of one or two words must stand there as a whole.
 
 How it spreads: documents stay where they are read, nothing is shuffled. The index goes to the tasks in shards of at
 most `shard_items` items; more items take more passes over the documents, in blocks of items.
@@ -141,9 +141,10 @@ class Index:
         for first in range(0, windows, stretch):
             last = min(windows, first + stretch)
             for w, codes, blocks in self._open_blocks(words, first, last, step):
+                have: dict[int, set] = {}
                 for item, score in self.retrieve(codes, blocks):
-                    have = grams(words[w * step : w * step + self.window])
-                    q, a = _share(self.questions[item], have), _share(self.answers[item], have)
+                    passage = words[w * step : w * step + self.window]
+                    q, a = _share(self.questions[item], passage, have), _share(self.answers[item], passage, have)
                     if q >= self.settings.question and a >= self.settings.answer:
                         best = (score, q, a, -w * step)
                         found[item] = max(found.get(item, best), best)
@@ -218,8 +219,14 @@ def _wand(cursors: list[list], threshold: float) -> list[tuple[int, float]]:
     return out
 
 
-def _share(wanted: set, have: set) -> float:
-    return len(wanted & have) / len(wanted) if wanted else 1.0
+def _share(wanted: set, passage: list[str], have: dict[int, set]) -> float:
+    """Share of a part's grams in the passage, whose grams of the same length are made once, in `have`."""
+    if not wanted:
+        return 1.0
+    n = len(next(iter(wanted)))
+    if n not in have:
+        have[n] = grams(passage, n)
+    return len(wanted & have[n]) / len(wanted)
 
 
 def indexes(items: DataFrame, settings: Settings = Settings()) -> Iterator[Index]:

@@ -77,3 +77,20 @@ def test_shards_and_empty_tables(spark):
     none = spark.createDataFrame([], ITEMS)
     assert dc.leaks(docs, none).count() == 0 and dc.without_leaks(docs, none).count() == 31
     assert dc.leaks(documents(spark, []), table).count() == 0
+
+
+def test_parts_of_one_or_two_words_are_found(spark):
+    rows = items(7, 40) + [
+        (100, "what is the capital city of france? Paris."), (101, "who wrote the old song of hills? jane doe."), (102, "why? because light bends over warm sand."),
+        (103, "who sings? the tiny brown lark does."), (104, "zebra? Quagga"), (105, "solitary"), (106, "two words"),
+    ]
+    rng = random.Random(8)
+    filler = lambda n: " ".join(f"v{rng.randint(0, 5000)}" for _ in range(n))
+    docs = [(i, f"{filler(rng.randint(0, 200))}\n{t}\n{filler(rng.randint(0, 200))}") for i, t in rows]
+    # The question without its answer, and an answer's two words apart.
+    docs += [(200, rows[40][1].replace("Paris", "Lyon") + filler(90)), (201, rows[41][1].replace("jane doe", "jane x doe") + filler(90))]
+    table = spark.createDataFrame(rows, ITEMS)
+    found = {(r.doc_id, r.item_id) for r in dc.leaks(documents(spark, docs), table).collect()}
+    assert found == {(i, i) for i, _ in rows}
+    clean = dc.without_leaks(documents(spark, docs), table)
+    assert sorted(r.doc_id for r in clean.collect()) == [200, 201]
