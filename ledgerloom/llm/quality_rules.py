@@ -7,12 +7,16 @@ Two parts decide about a document:
   documents holding a line are counted per host. Lines above the limits are menu, banner or
   licence lines; they are removed, and a document that they mostly consist of is rejected.
 
-Copies of one document are not evidence that a line is boilerplate. So a document counts by a
-sketch: the smallest hash among its *other* lines. Exact copies share it, near copies mostly do,
-while unrelated documents around a shared line differ. The two limits are a number of distinct
-documents and a share of the host's documents, and hold alike at every size.
-
-How it spreads: the count of distinct sketches is Spark's two-step distinct aggregate, so a line
+Copies of one document are not evidence that a line is boilerplate. So lines are counted twice: first in
+distinct texts, which gives the *shared* lines (in more texts than the limit), then in distinct documents.
+A document counts by the least hash among its own lines, those that are not shared: exact copies have it in
+common, near copies mostly do, and lines that always stand together take no part in it. An own line stands in
+at most `line_documents` texts, so a line in more than `line_documents` squared texts of documents with own words
+always counts as above that limit. A text with too few own words is a near copy (8/9 of the words in common are a similarity
+of 0.8, as in near-dedup) and counts by its shared lines, so that all its family counts once. The two limits
+are a number of distinct documents and a share of the host's documents, and hold alike at every size.
+
+How it spreads: lines are taken once and written as hashes; distinct counts are Spark's two-step distinct aggregates, so a line
 found everywhere is counted where it is read. Lines over a share `s` of a host's documents
 number at most (mean lines per document) / `s` for the host; the table is written, and Spark broadcasts it only
 when its files are under the session's limit, or sort-merges (with AQE's skew splitting) beyond.
@@ -41,6 +45,8 @@ class Limits:
     #: A line is boilerplate if more distinct documents of its host hold it than each of these.
     line_documents: int = 10
     line_share: float = 0.05
+    #: A text with a smaller share of own words is a near copy.
+    own_share: float = 1 / 9
     #: A document left with a smaller share of its words is rejected.
     min_left_share: float = 0.3
 
@@ -85,25 +91,43 @@ def with_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """host, h: lines in more distinct documents of the host than the limits allow."""
-    lines = (
-        with_lines(documents)
-        .select("host", F.array_distinct(F.col("lines.h")).alias("hashes"))
-        .withColumn("least", F.array_min("hashes"))
-        .withColumn("next", F.array_min(F.array_remove("hashes", F.coalesce("least", F.lit(0)))))
-        .select("host", "least", "next", F.explode("hashes").alias("h"))
-        .select(
-            "host", "h",
-            # A document of one line has no other line: all such are copies of each other.
-            F.coalesce(F.when(F.col("h") == F.col("least"), F.col("next")).otherwise(F.col("least")), F.lit(-1))
-            .alias("sketch"),
+def line_hashes(documents: DataFrame) -> DataFrame:
+    """doc_id, row_key, host, text_key (equal for equal sets of lines) and lines."""
+    return with_lines(documents).select(
+        "doc_id", _row_key(), "host", F.xxhash64(F.array_sort(F.array_distinct("lines.h"))).alias("text_key"), "lines"
+    )
+
+
+def frequent_lines(hashed: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """host, h: lines in more distinct documents of the host than the limits allow, from `line_hashes`."""
+    lines = hashed.select("host", "text_key", F.explode("lines").alias("line")).select(
+        "host", "text_key", F.col("line.h").alias("h"), F.col("line.n").alias("n")
+    )
+    shared = (
+        lines.groupBy("host", "h").agg(F.countDistinct("text_key").alias("texts"))
+        .where(F.col("texts") > limits.line_documents)
+        .select("host", "h", F.lit(True).alias("shared"))
+    )
+    shared = base.stored(shared, "shared-lines")
+    own = F.col("shared").isNull()
+    texts = (
+        lines.join(shared, ["host", "h"], "left")
+        .groupBy("host", "text_key")
+        .agg(
+            F.sum("n").alias("words"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own_words"),
+            F.min(F.when(own, F.col("h"))).alias("own"), F.collect_set(F.when(~own, F.col("h"))).alias("hashes"),
         )
+        .where(F.size("hashes") > 0)
+        .withColumn("own", F.when(F.col("own_words") >= limits.own_share * F.col("words"), F.col("own")))
+        .withColumns({"least": F.array_min("hashes"), "most": F.array_max("hashes")})
+        .select("host", "own", "least", "most", F.explode("hashes").alias("h"))
     )
-    counted = lines.groupBy("host", "h").agg(F.countDistinct("sketch").alias("documents"))
-    hosts = documents.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("host")).agg(
-        F.count(F.lit(1)).alias("host_documents")
+    # A near copy counts by a shared line other than the counted one; those without any are copies of each other.
+    other = F.when(F.col("h") != F.col("least"), F.col("least")).when(F.col("h") != F.col("most"), F.col("most"))
+    counted = texts.groupBy("host", "h").agg(
+        F.countDistinct(F.coalesce(F.col("own"), other, F.lit(-1))).alias("documents")
     )
+    hosts = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
     return (
         counted.where(F.col("documents") > limits.line_documents)
         .join(hosts, "host")
@@ -175,10 +199,10 @@ def measured(documents: DataFrame) -> DataFrame:
 
 def judge(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Every document with its figures, the words lost with frequent lines, and the verdict."""
-    frequent = base.stored(frequent_lines(documents, limits), "frequent-lines")
+    hashed = base.stored(line_hashes(documents), "line-hashes")
+    frequent = base.stored(frequent_lines(hashed, limits), "frequent-lines")
     removed = (
-        with_lines(documents)
-        .select("doc_id", _row_key(), F.posexplode("lines").alias("at", "line"), "host")
+        hashed.select("doc_id", "row_key", F.posexplode("lines").alias("at", "line"), "host")
         .select("doc_id", "row_key", "at", "host", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
         .join(frequent, ["host", "h"], "left_semi")
         .dropDuplicates(["doc_id", "row_key", "at"])

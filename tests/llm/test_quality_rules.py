@@ -55,6 +55,19 @@ def test_shared_lines_are_removed_and_depleted_documents_rejected(spark):
     assert all(got[100 + i]["kept"] and got[100 + i]["words_removed"] == 0 for i in range(5))
 
 
+def test_lines_that_stand_together_are_counted_by_documents(spark):
+    """A menu of twenty lines, a header with a footer: every document counts, not each distinct set of shared lines."""
+    rng = random.Random(6)
+    menu, frame = [_body(rng, 3) for _ in range(20)], [_body(rng, 40) for _ in range(3)]
+    rows = [(i, "\n".join([*menu, _body(rng, 15)]), None, "menu") for i in range(60)]
+    rows += [(100 + i, "\n".join([*frame[:2], _body(rng, 30), frame[2]]), None, "frame") for i in range(60)]
+    rows += [(200 + i, "\n".join([*menu, _body(rng, 90)]), None, "menu") for i in range(10)]
+    got = by_id(qr.judge(documents(spark, rows)))
+    assert all(got[i]["words_removed"] == 60 and not got[i]["kept"] and not got[i]["base_failed"] for i in range(60))
+    assert all(got[i]["words_removed"] == 120 and not got[i]["kept"] for i in range(100, 160))
+    assert all(got[i]["words_removed"] == 60 and got[i]["kept"] for i in range(200, 210))
+
+
 def test_copies_are_no_evidence(spark):
     """Sixty copies of one document, some with one changed line, lose nothing."""
     rng = random.Random(2)
