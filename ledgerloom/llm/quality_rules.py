@@ -14,7 +14,7 @@ common, near copies mostly do, and lines that always stand together take no part
 at most `line_documents` texts, so a line in more than `line_documents` squared texts of documents with own words
 always counts as above that limit. A text with too few own words is a near copy (8/9 of the words in common are a similarity
 of 0.8, as in near-dedup) and counts by its shared lines, so that all its family counts once. The two limits
-are a number of distinct documents and a share of the host's documents, and hold alike at every size.
+are a number of distinct documents and a share of the host's distinct texts, and hold alike at every size.
 
 How it spreads: lines are taken once and written as hashes; distinct counts are Spark's two-step distinct aggregates, so a line
 found everywhere is counted where it is read. Lines over a share `s` of a host's documents
@@ -127,7 +127,8 @@ def frequent_lines(hashed: DataFrame, limits: Limits = Limits()) -> DataFrame:
     counted = texts.groupBy("host", "h").agg(
         F.countDistinct(F.coalesce(F.col("own"), other, F.lit(-1))).alias("documents")
     )
-    hosts = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
+    # Copies count once here too, or a host full of them would hide its lines.
+    hosts = hashed.groupBy("host").agg(F.countDistinct("text_key").alias("host_documents"))
     return (
         counted.where(F.col("documents") > limits.line_documents)
         .join(hosts, "host")

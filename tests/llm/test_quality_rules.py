@@ -78,6 +78,16 @@ def test_copies_are_no_evidence(spark):
     assert all(r["kept"] and r["words_removed"] == 0 for r in got.values())
 
 
+def test_copies_do_not_raise_the_share(spark):
+    """A banner in 20 documents, beside 400 copies of another one."""
+    rng = random.Random(7)
+    banner, copied = _body(rng, 5), _body(rng)
+    rows = [(i, f"{banner}\n{_body(rng)}") for i in range(20)] + [(100 + i, copied) for i in range(400)]
+    got = by_id(qr.judge(documents(spark, rows)))
+    assert all(got[i]["words_removed"] == 5 for i in range(20))
+    assert all(got[100 + i]["words_removed"] == 0 for i in range(400))
+
+
 def test_limits_are_per_host_and_normalised(spark):
     rng = random.Random(3)
     rows = [(i, f"Big   BANNER {'x' * 3}\n{_body(rng)}", None, "a") for i in range(15)]
