@@ -12,8 +12,8 @@ from ledgerloom.llm import base, bpe, decontaminate, minhash_dedup, quality_rule
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.passing(docs)
+    """Documents that the quality rules reject go, and frequent lines go from the others."""
+    return quality_rules.cleaned(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ Two parts decide about a document:
 * **Base rules** on its own words: too few words, or mostly words inside repeated three-word windows.
 * **Line frequency**: lines are normalised (lower case, single spaces), hashed, and the *distinct*
   documents holding a line are counted per host. Lines above the limits are menu, banner or
-  licence lines; they are removed, and a document that they mostly consist of is rejected.
+  licence lines; `cleaned` removes them, and a document that they mostly consist of is rejected.
 
 Copies of one document are not evidence that a line is boilerplate. So lines are counted twice: first in
 distinct texts, which gives the *shared* lines (in more texts than the limit), then in distinct documents.
@@ -208,7 +208,7 @@ def judge(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
         .join(frequent, ["host", "h"], "left_semi")
         .dropDuplicates(["doc_id", "row_key", "at"])
         .groupBy("doc_id", "row_key")
-        .agg(F.sum("n").cast("long").alias("words_removed"))
+        .agg(F.sum("n").cast("long").alias("words_removed"), F.array_sort(F.collect_set("h")).alias("removed_lines"))
     )
     left = F.col("n_words") - F.col("words_removed")
     failed = (F.col("n_words") < limits.min_words) | (
@@ -222,7 +222,7 @@ def judge(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
         .select(
             "f.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"),
-            F.col("f.row_key").alias("row_key"),
+            F.col("f.row_key").alias("row_key"), "removed_lines",
         )
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (left >= limits.min_left_share * F.col("n_words")))
@@ -239,8 +239,24 @@ def passing(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return rows.join(kept, same, "left_semi").drop("_row_key")
 
 
+def cleaned(documents: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The documents that are kept, with all their columns; frequent lines are taken out of the text and the length follows."""
+    judged = base.stored(judge(documents, limits), "judged")
+    kept = judged.where("kept").select("doc_id", "row_key", F.col("removed_lines").alias("_removed")).distinct().alias("k")
+    rows = documents.withColumn("_row_key", _row_hash(base.text_of())).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._row_key") == F.col("k.row_key"))
+    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_removed", _line_hash(_normal(x))))
+    changed = F.col("_removed").isNotNull()
+    out = rows.join(kept, same).select("d.*", "k._removed")
+    out = out.withColumn("text", F.when(changed, F.array_join(left, "\n")).otherwise(F.col("text")))
+    if "n_chars" in documents.columns:
+        length = F.length("text").cast(documents.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
+    return out.select(*documents.columns)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(base.table(spark, sf_dir, "documents")).drop("row_key")
+    return judge(base.table(spark, sf_dir, "documents")).drop("row_key", "removed_lines")
 
 
 ORACLE = """

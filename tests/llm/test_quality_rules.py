@@ -107,6 +107,20 @@ def test_passing_keeps_columns_and_repeated_rows(spark):
     assert qr.passing(documents(spark, [])).count() == 0
 
 
+def test_frequent_lines_leave_the_texts_of_the_quality_stage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    own = [_body(rng) for _ in range(30)]
+    text = lambda i: f"Big  Banner\n\n{own[i][:200]}\n big banner\t\n{own[i][200:]}"
+    rows = [(i, text(i)) for i in range(30)] + [(0, text(0)), (None, text(1)), (50, "short"), (51, None), (60, f"{own[0]} z", None, "src1")]
+    docs = documents(spark, rows, kept="clash", row_key=1)
+    out = corpus_pipeline.quality(spark, docs, "")
+    assert out.columns == docs.columns
+    left = [(i, f"\n{t[:200]}\n{t[200:]}") for i, t in [*enumerate(own), (0, own[0]), (None, own[1])]] + [(60, f"{own[0]} z")]
+    assert sorted((str(r.doc_id), r.text, r.n_chars) for r in out.collect()) == sorted((str(i), t, len(t)) for i, t in left)
+
+
 def test_plan_has_no_python_and_no_pairing(spark):
     plan = qr.judge(documents(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
