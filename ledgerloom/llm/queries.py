@@ -13,6 +13,7 @@ from ledgerloom.llm import (
     secret_scans,
     toxicity,
     url_filters,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_license_scans": license_scans.op8_license_scans,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_whitening": whitening.op11_whitening,
 }
 ORACLES = {
     "op3_url_filters": url_filters.ORACLE,
