@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerloom.llm import (
     bpe,
+    bpe_tree,
     decontaminate,
     html_extraction,
     language_id,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_whitening": whitening.op11_whitening,
+    "op13_bpe_tree": bpe_tree.op13_bpe_tree,
 }
 ORACLES = {
     "op3_url_filters": url_filters.ORACLE,
