@@ -9,6 +9,7 @@ from ledgerloom.llm import (
     html_extraction,
     language_id,
     license_scans,
+    merkle,
     minhash_dedup,
     quality_rules,
     secret_scans,
@@ -29,10 +30,12 @@ QUERIES = {
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_whitening": whitening.op11_whitening,
+    "op12_merkle": merkle.op12_merkle,
     "op13_bpe_tree": bpe_tree.op13_bpe_tree,
 }
 ORACLES = {
     "op3_url_filters": url_filters.ORACLE,
     "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
