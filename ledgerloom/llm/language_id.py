@@ -4,19 +4,21 @@ The network reads the bytes of a run of letters forwards and backwards, with a b
 labels every byte with a distribution over the learned languages. A text's
 distribution is the mean over all its letters' bytes. State starts afresh at each run of letters, so
 labels of a run depend on it alone: each worker computes a distinct run once, in batches, and
-remembers its summed labels in a table of bounded size. Runs longer than `span` bytes are cut.
+remembers its summed labels in a table of bounded size, from one task to the next. Runs longer than `span` bytes are cut
+between characters.
 
 Training, on the driver: rows whose id's checksum is not divisible by the folds, with a text and a language, sampled
 by a hash of the id to about `sample` documents in all, the same number for each language; from them `runs` runs
 of letters per language are drawn and the network is fitted in numpy by backpropagation through time.
 
 Defined cases: NULL texts and texts without a letter get `und` with score 0; without a single training row
-every text gets `und`; repeated rows are labelled alike; an empty table gives an empty result; other columns of the input
+every text gets `und`; of languages that tie the first by name counts; repeated rows are labelled alike; an empty table gives an empty result; other columns of the input
 are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -45,13 +47,21 @@ class Settings:
     epochs: int = 6
     batch: int = 256
     rate: float = 0.01
-    remembered: int = 300_000
+    remembered: int = 1_000_000
 
 
 def _spans(run: str, span: int) -> list[bytes]:
-    """The run's bytes with a blank at either end, cut into stretches."""
+    """The run's bytes with a blank at either end, cut between characters into stretches of up to ``span`` bytes."""
     raw = b" " + run.encode("utf-8", "replace") + b" "
-    return [raw[i : i + span] for i in range(0, len(raw), span)]
+    out, start = [], 0
+    while len(raw) - start > span:
+        end = start + span
+        # Bytes 10xxxxxx go on with a character; one has four bytes at most.
+        while end > start + 4 and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(raw[start:end])
+        start = end
+    return [*out, raw[start:]]
 
 
 def _padded(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +154,11 @@ class Network:
         self._unroll("b", codes[::-1], tb, d_both[::-1, :, n:], grad)
         return loss, grad
 
+    def key(self) -> str:
+        """Tells models apart."""
+        parts = (self.p[k].tobytes() for k in sorted(self.p))
+        return hashlib.sha256(repr(self.languages).encode() + b"".join(parts)).hexdigest()
+
     def sums(self, spans: list[bytes]) -> np.ndarray:
         """For each span the labels summed over its places, and the number of places."""
         out = np.empty((len(spans), len(self.languages) + 1), dtype=np.float32)
@@ -196,7 +211,16 @@ def train(examples: list[tuple[str, str]], settings: Settings = Settings()) -> N
 
 
 class Labeller:
-    """Pools the labels of a text's runs; kept by a worker for one model."""
+    """Pools the labels of a text's runs; each worker keeps the one of the last model."""
+
+    _kept: tuple[tuple, Labeller] | None = None
+
+    @classmethod
+    def of(cls, key: str, network: Network, settings: Settings) -> Labeller:
+        """The worker's own labeller, so that what one task has learnt serves the next."""
+        if cls._kept is None or cls._kept[0] != (key, settings):
+            cls._kept = ((key, settings), cls(network, settings))
+        return cls._kept[1]
 
     def __init__(self, network: Network, settings: Settings):
         self.network, self.settings = network, settings
@@ -252,10 +276,11 @@ def training_rows(documents: DataFrame, settings: Settings = Settings()) -> list
 def identify(documents: DataFrame, network: Network | None, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, the predicted language and its pooled probability."""
     shared = documents.sparkSession.sparkContext.broadcast(network)
+    key = network.key() if network else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = shared.value
-        labeller = Labeller(network, settings) if network else None
+        labeller = Labeller.of(key, network, settings) if network else None
         for b in batches:
             found = labeller.pooled(b.column("text").to_pylist()) if labeller else [None] * b.num_rows
             best = [UNKNOWN if p is None else network.languages[int(p.argmax())] for p in found]

@@ -68,3 +68,31 @@ def test_held_out_rows_and_null_languages_teach_nothing(spark):
     assert taught and not taught & held and all(i % 2 for i in taught)
     assert li.train([]) is None and li.training_rows(documents(spark, [])) == []
     assert li.identify(docs, None).where("lang_pred <> 'und' or score <> 0").count() == 0
+
+
+def test_long_runs_are_cut_between_characters():
+    for run in ("a" * 100, "ñ" * 40, "日本語" * 30, "x🙂é" * 20, "a", "é" * 11 + "b"):
+        for span in (4, 5, 24):
+            cut = li._spans(run, span)
+            assert b"".join(cut) == b" " + run.encode() + b" "
+            assert all(0 < len(c) <= span and c.decode() for c in cut)
+
+
+def test_a_worker_keeps_what_it_has_learnt_for_the_same_model(network):
+    key = network.key()
+    kept = li.Labeller.of(key, network, FAST)
+    kept.pooled(["alpha beta"])
+    assert li.Labeller.of(key, network, FAST) is kept and "alpha" in kept.index
+    other = li.Network(network.languages, network.hidden, seed=8)
+    assert other.key() != key and li.Labeller.of(other.key(), other, FAST) is not kept
+
+
+def test_languages_that_tie_go_by_name(spark):
+    net = li.Network(["aa", "bb"], hidden=2)
+    net.p = {k: np.zeros_like(v) for k, v in net.p.items()}
+    (row,) = li.identify(documents(spark, [(1, "word")]), net, FAST).collect()
+    assert row.lang_pred == "aa" and row.score == pytest.approx(0.5)
+
+
+def test_an_empty_table(spark, network):
+    assert li.identify(documents(spark, []), network, FAST).count() == 0
