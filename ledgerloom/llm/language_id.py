@@ -34,6 +34,8 @@ from ledgerloom.llm import base
 #: Runs of letters, as Unicode knows them.
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Runs looked up at once.
+STRETCH = 100_000
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def _spans(run: str, span: int) -> list[bytes]:
     while len(raw) - start > span:
         end = start + span
         # Bytes 10xxxxxx go on with a character; one has four bytes at most.
-        while end > start + 4 and raw[end] & 0xC0 == 0x80:
+        while end > start + 1 and raw[end] & 0xC0 == 0x80:
             end -= 1
         out.append(raw[start:end])
         start = end
@@ -242,20 +244,36 @@ class Labeller:
         self.index.update(zip(runs, range(at, at + len(runs)), strict=True))
 
     def pooled(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """The texts' distributions, None where there is no letter. A text is taken in stretches of runs."""
-        out = []
-        for text in texts:
-            runs, total = LETTERS.findall((text or "").lower()), 0
-            for first in range(0, len(runs), 100_000):
-                stretch = runs[first : first + 100_000]
-                at = list(map(self.index.get, stretch))
-                if None in at:
-                    new = {r for r, i in zip(stretch, at, strict=True) if i is None}
-                    self._learn(sorted(new | (set(stretch) if len(self.index) + len(new) > len(self.table) else set())))
-                    at = list(map(self.index.__getitem__, stretch))
-                total = total + self.table[at].sum(axis=0, dtype=np.float64)
-            out.append(total[:-1] / total[-1] if runs else None)
-        return out
+        """The texts' distributions, None where there is no letter.
+
+        Runs are taken in stretches, of many short texts or of one long one, and what is new in a stretch is learnt at once.
+        """
+        totals: list[np.ndarray | None] = [None] * len(texts)
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+        for number, text in enumerate(texts):
+            runs = LETTERS.findall((text or "").lower())
+            for first in range(0, len(runs), STRETCH):
+                stretch = runs[first : first + STRETCH]
+                if size + len(stretch) > STRETCH:
+                    self._add(waiting, totals)
+                    waiting, size = [], 0
+                waiting.append((number, stretch))
+                size += len(stretch)
+        self._add(waiting, totals)
+        return [None if t is None else t[:-1] / t[-1] for t in totals]
+
+    def _add(self, stretches: list[tuple[int, list[str]]], totals: list[np.ndarray | None]) -> None:
+        """Add the labels of stretches of runs to their texts' totals."""
+        distinct = set().union(*(runs for _, runs in stretches))
+        new = distinct.difference(self.index)
+        if new:
+            self._learn(sorted(new if len(self.index) + len(new) <= len(self.table) else distinct))
+        for number, runs in stretches:
+            at = np.array(list(map(self.index.__getitem__, runs)))
+            found = self.table.take(at, axis=0).sum(axis=0, dtype=np.float64)
+            known = totals[number]
+            totals[number] = found if known is None else known + found
 
 
 def training_rows(documents: DataFrame, settings: Settings = Settings()) -> list[tuple[str, str]]:
