@@ -80,18 +80,30 @@ def format_currency(value: Column) -> Column:
     )
 
 
+def tenths_half_even(part: Column, whole: Column) -> Column:
+    """``|part / whole|`` in tenths of a percent as a whole number, ties to the even one; NULL where ``whole`` is 0.
+
+    The remainder of a whole division decides, so no quotient is cut before it is rounded.
+    """
+    thousandfold, divisor = F.abs(part) * F.lit(1000), F.nullif(F.abs(whole), F.lit(0))
+    rest = thousandfold % divisor
+    down = F.try_divide(thousandfold - rest, divisor).try_cast("decimal(38,0)")
+    twice = rest * F.lit(2)
+    up = (twice > divisor) | ((twice == divisor) & (down % 2 == 1))
+    return down + F.when(up, 1).otherwise(0)
+
+
 def format_percentage(value: Column, total: Column) -> Column:
-    """One-decimal percent text: '0%' for an empty total, 'N/A' for what is not a number."""
-    # Ten decimals leave the quotient eight of its own; a text total is no number that can be zero.
+    """One-decimal percent text, rounded half-even: '0%' for an empty total, 'N/A' for what is not a number."""
+    # Numbers are exact to ten decimals; a text total is no number that can be zero.
     part = value.cast("string").try_cast("decimal(30,10)")
     whole = total.cast("string").try_cast("decimal(30,10)")
     blank = total.isNull() | (total.cast("string") == "") | ((whole == 0) & (F.typeof(total) != "string"))
-    share = F.when(whole != 0, part / whole) * F.lit(100)
-    return (
-        F.when(F.coalesce(blank, F.lit(False)), F.lit("0%"))
-        .when(share.isNull(), F.lit("N/A"))
-        .otherwise(F.concat(_plain(share, 1), F.lit("%")))
-    )
+    tenths = tenths_half_even(part, whole)
+    sign = F.when((part < 0) != (whole < 0), "-").otherwise("")
+    units = ((tenths - tenths % 10) / 10).cast("decimal(38,0)").cast("string")
+    text = F.concat(sign, units, F.lit("."), (tenths % 10).cast("decimal(1,0)").cast("string"), F.lit("%"))
+    return F.when(F.coalesce(blank, F.lit(False)), F.lit("0%")).otherwise(F.coalesce(text, F.lit("N/A")))
 
 
 def percent_text(value: Column) -> Column:

@@ -80,3 +80,23 @@ def test_percentage_at_full_precision(spark):
     assert value_of(spark, money.format_percentage(F.lit("0.00001"), F.lit("0.00004"))) == "25.0%"
     assert value_of(spark, money.format_percentage(F.lit("1"), F.lit("0"))) == "N/A"
     assert value_of(spark, money.format_percentage(F.lit(1), F.lit(0))) == "0%"
+
+
+def test_percentage_rounds_the_exact_value_and_ties_to_even(spark):
+    """Against decimal arithmetic to 28 digits; near-ties lie within the last digits of it."""
+    whole = ["117382.22", "3", "-7", "0.01", "800", "16", "99999999999999.99", "123456789.01"]
+    part = ["365352.16", "1", "-2", "0", "9.99", "0.5", "1.25", "249.9999999", "99999999999999.99", "0.0001"]
+    # Ties at every second tenth, and one cent beside them.
+    pairs = [(a, b) for a in part for b in whole]
+    pairs += [(str(Decimal(k) / 8 + d), "100") for k in range(0, 60) for d in (Decimal(0), Decimal("0.0000000001"), Decimal("-0.0000000001"))]
+    pairs += [(str(Decimal(2 * k + 1) * 5), "10000") for k in range(50)]
+    df = spark.createDataFrame(pairs, "a string, b string").selectExpr("CAST(a AS DECIMAL(30,10)) a", "CAST(b AS DECIMAL(30,10)) b")
+    for row in df.select("a", "b", money.format_percentage(F.col("a"), F.col("b")).alias("text")).collect():
+        # Zero keeps the sign that dividing gives it.
+        assert row.text == f"{row.a / row.b * 100:.1f}%", row
+
+
+def test_percentage_of_wide_numbers(spark):
+    assert value_of(spark, money.format_percentage(F.lit("9" * 18), F.lit("0.0000000001"))) == f"{Decimal('9' * 18) * 10**12:.1f}%"
+    assert value_of(spark, money.format_percentage(F.lit("-0.01"), F.lit("1000"))) == "-0.0%"
+    assert value_of(spark, money.format_percentage(F.lit("abc"), F.lit("0.0"))) == "N/A"
