@@ -540,6 +540,109 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").select("seq", "reason")
 
 
+def stream_skipped_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Skipped payloads by reason, as the stream's progress counts them and as its default table holds them."""
+    root = new_workspace(spark, "skipped")
+    store = LedgerStore(spark, f"{root}/store")
+    load.full_load(store, fixture.ledger(spark, sf).where(F.col("tahun_rkap") == KEPT_YEAR), "daemon", allow_empty=True)
+    query = apply.start_apply(
+        store, _payload_stream(spark, sf), lambda: fixture.ledger(spark, sf), f"{root}/checkpoint", trigger={"availableNow": True}
+    )
+    _run(query)
+    seen = spark.createDataFrame(list(apply.observed_counts(query).items()), "reason string, observed long")
+    kept = apply.read_skipped(store).groupBy("reason").agg(F.count("*").alias("kept"))
+    return seen.where("reason <> 'payloads'").join(kept, "reason", "full_outer")
+
+
+def _moments(spark: SparkSession, sf: str, drops: int) -> list:
+    """Moments that part the feed into drops of about equal size; events of one moment stay together."""
+    shares = ", ".join(str(k / drops) for k in range(1, drops))
+    return fixture.table(spark, sf, "events").selectExpr(f"percentile_approx(ts, array({shares})) AS at").first()["at"]
+
+
+def _in_drops(spark: SparkSession, sf: str, moments: list) -> list[DataFrame]:
+    """The feed's payloads in the order of time, parted behind each moment."""
+    events = fixture.table(spark, sf, "events")
+    number = sum((F.col("ts") > F.lit(at)).cast("int") for at in moments)
+    return [_payloads(events.where(number == k)).select("payload") for k in range(len(moments) + 1)]
+
+
+def snapshot_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """A snapshot during which half of the feed's changes land, then the tail: the source after the feed.
+
+    The snapshot reads the source as it is before those changes; the tail must bring them, and need not bring what the
+    feed held before.
+    """
+    root = new_workspace(spark, "position")
+    store = LedgerStore(spark, f"{root}/store")
+    led, good = fixture.ledger(spark, sf), _good_feed(spark, sf)
+    moments = _moments(spark, sf, 2)
+    early, late = _in_drops(spark, sf, moments)
+    early.write.mode("append").text(f"{root}/in")
+    reads: list[int] = []
+
+    def read_source() -> DataFrame:
+        reads.append(1)
+        if len(reads) > 1:
+            return _changed_ledger(led, good)
+        late.write.mode("append").text(f"{root}/in")
+        return _changed_ledger(led, good.where(F.col("timestamp") <= F.lit(moments[0])))
+
+    _run(
+        apply.snapshot_then_tail(
+            store, feeds.text_stream(spark, f"{root}/in"), read_source, f"{root}/checkpoint", trigger={"availableNow": True}
+        )
+    )
+    return _loaded(store)
+
+
+def stream_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed followed on the one-second clock while it comes in several drops, then a clean stop: the source after the feed."""
+    root = new_workspace(spark, "clock")
+    store = LedgerStore(spark, f"{root}/store")
+    led = fixture.ledger(spark, sf)
+    final = _changed_ledger(led, _good_feed(spark, sf))
+    load.full_load(store, led, "daemon")
+    first, *others = _in_drops(spark, sf, _moments(spark, sf, 3))
+    first.write.mode("append").text(f"{root}/in")
+    query = apply.start_apply(store, feeds.text_stream(spark, f"{root}/in"), lambda: final, f"{root}/checkpoint")
+    try:
+        for drop in others:
+            query.processAllAvailable()
+            drop.write.mode("append").text(f"{root}/in")
+    finally:
+        apply.finish(query)
+    return _loaded(store)
+
+
+def published_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """What readers have while the second publication is being written, and after it: all reports of one ledger each time."""
+    root = new_workspace(spark, "published")
+    led = conform(fixture.ledger(spark, sf))
+    seen: list[DataFrame] = []
+
+    def reading(moment: str) -> DataFrame:
+        number = summaries.published(spark, root)
+        totals, types = (summaries.read_published(spark, root, name, number) for name in ("totals", "types"))
+        return totals.select(
+            F.lit(moment).alias("moment"), F.lit("all").alias("type_investasi"), "project_count", "total_rkap"
+        ).unionByName(types.select(F.lit(moment).alias("moment"), "type_investasi", "project_count", "total_rkap"))
+
+    def totals(rows: DataFrame) -> DataFrame:
+        return rows.agg(F.count("*").alias("project_count"), F.sum("rkap").alias("total_rkap"))
+
+    def types(rows: DataFrame) -> DataFrame:
+        # The first report of this publication is written by now.
+        if summaries.published(spark, root) is not None:
+            seen.append(reading("during"))
+        return rows.groupBy("type_investasi").agg(F.count("*").alias("project_count"), F.sum("rkap").alias("total_rkap"))
+
+    reports_ = {"totals": totals, "types": types}
+    summaries.publish(led.where(F.col("tahun_rkap") <= 1996), reports_, root)
+    summaries.publish(led, reports_, root)
+    return comparable(seen[0].unionByName(reading("after")))
+
+
 # What the insert-fed views read of a ledger row.
 SUMMARY_INPUTS = {
     "budget_actual": ["tahun_rkap", "klaster_regional", "rkap", "total_realisasi", "nilai_kontrak"],
@@ -551,7 +654,7 @@ SUMMARY_INPUTS = {
 
 
 def _stream_summary(view: str) -> Query:
-    """An insert-fed view: every row once, and the re-synced rows once more."""
+    """An insert-fed view over several micro-batches: every row once, and the re-synced rows once more."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         root = new_workspace(spark, "summary")
@@ -562,15 +665,15 @@ def _stream_summary(view: str) -> Query:
         )
         columns = SUMMARY_INPUTS[view]
         for part in (led, resynced):
-            conform(part, "daemon").select(columns).write.mode("append").parquet(f"{root}/inserts")
+            conform(part, "daemon").select(columns).repartition(2).write.mode("append").parquet(f"{root}/inserts")
         schema = T.StructType([f for f in CONFORMED_LEDGER.fields if f.name in columns])
-        inserted = spark.readStream.schema(schema).parquet(f"{root}/inserts")
+        inserted = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/inserts")
         _run(
             summaries.start_summary(
-                inserted, view, f"{root}/out", f"{root}/checkpoint", {"availableNow": True}
+                inserted, view, f"{root}/out", f"{root}/checkpoint", {"availableNow": True}, fold_every=2
             )
         )
-        return comparable(views.merged(summaries.read_summary(spark, f"{root}/out"), view))
+        return comparable(views.merged(summaries.read_summary(spark, f"{root}/out", view), view))
 
     return run
 
@@ -584,6 +687,10 @@ LOADS: dict[str, Query] = {
     "stream_rejects": stream_rejects,
     "stream_ties": stream_ties,
     "mixed_writers": mixed_writers,
+    "stream_skipped_counts": stream_skipped_counts,
+    "snapshot_tail": snapshot_tail,
+    "stream_clock": stream_clock,
+    "published_reports": published_reports,
     "stream_summary": _stream_summary("budget_actual"),
     **{f"stream_summary_{view}": _stream_summary(view) for view in SUMMARY_INPUTS if view != "budget_actual"},
 }

@@ -10,6 +10,8 @@ ledger to ``--out``; they never overwrite what they read.
 from __future__ import annotations
 
 import argparse
+import signal
+import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,13 +147,17 @@ def change(spark: SparkSession, args: argparse.Namespace) -> None:
         compare.change_events(led, written).select("payload").write.mode("append").text(args.feed)
 
 
-def follow(spark: SparkSession, args: argparse.Namespace) -> None:
-    store = _store(spark, args)
+def _stop_request() -> threading.Event:
+    """Set when the process is asked to end."""
+    stopping = threading.Event()
+    if threading.current_thread() is threading.main_thread():
+        for name in (signal.SIGTERM, signal.SIGINT):
+            signal.signal(name, lambda *_: stopping.set())
+    return stopping
 
-    def republish(_: int) -> None:
-        if args.reports:
-            summaries.publish(store.read(), STORE_REPORTS, args.reports)
 
+def follow(spark: SparkSession, args: argparse.Namespace) -> None:
+    store = _store(spark, args)
     query = apply.snapshot_then_tail(
         store,
         feed.text_stream(spark, args.feed),
@@ -160,15 +166,19 @@ def follow(spark: SparkSession, args: argparse.Namespace) -> None:
         rejects_path=args.rejects,
         trigger={"processingTime": args.every},
         compact_every=args.compact_every,
-        after_batch=republish,
     )
-    query.awaitTermination()
+    beside = []
+    if args.reports:
+        clock = f"{args.checkpoint}-reports"
+        beside.append(summaries.start_refresh(spark, store.look, STORE_REPORTS, args.reports, clock, args.refresh))
+    apply.run_until(query, _stop_request(), beside)
+    print("payloads:", apply.observed_counts(query))
 
 
 def refresh(spark: SparkSession, args: argparse.Namespace) -> None:
     store = _store(spark, args)
     query = summaries.start_refresh(
-        spark, store.read, STORE_REPORTS, args.out, args.checkpoint, args.every
+        spark, store.look, STORE_REPORTS, args.out, args.checkpoint, args.every
     )
     query.awaitTermination()
 
@@ -225,8 +235,9 @@ def parser() -> argparse.ArgumentParser:
     sub = job(follow, store=True)
     sub.add_argument("--feed", required=True)
     sub.add_argument("--checkpoint", required=True)
-    sub.add_argument("--rejects")
+    sub.add_argument("--rejects", help="folder of the skipped payloads; in the store by default")
     sub.add_argument("--reports", help="folder to publish the store's reports to")
+    sub.add_argument("--refresh", default="30 seconds", help="how often reports are published, if the ledger has changed")
     sub.add_argument("--every", default="1 second")
     sub.add_argument("--compact-every", type=int, default=100, help="change batches; 0 never")
     sub = job(refresh, source=False, store=True)

@@ -861,6 +861,13 @@ def _fed(view: str, keys: str, condition: str = "true") -> str:
     )
 
 
+_MOMENTS = "conf JOIN (VALUES ('during', 1996), ('after', 99999)) m(moment, until) ON tahun_rkap <= until"
+_PUBLISHED = _conformed(
+    f"SELECT moment, 'all' AS type_investasi, {COUNT}, {_sum('rkap', 'total_rkap')} FROM {_MOMENTS} GROUP BY moment "
+    f"UNION ALL SELECT moment, type_investasi, {COUNT}, {_sum('rkap', 'total_rkap')} FROM {_MOMENTS} "
+    "GROUP BY moment, type_investasi"
+)
+
 LOADS = {
     "full_load": _conformed(f"SELECT {LOADED} FROM conf"),
     "incremental_load": _AFTER_DELETES,
@@ -871,6 +878,15 @@ LOADS = {
     "stream_apply": _AFTER_FEED,
     "stream_ties": _AFTER_FEED,
     "mixed_writers": _AFTER_FEED,
+    "snapshot_tail": _AFTER_FEED,
+    "stream_clock": _AFTER_FEED,
+    "stream_skipped_counts": _q(
+        FEED,
+        select=f"SELECT 'malformed' AS reason, count(*) FILTER (WHERE {_MALFORMED}) AS observed, "
+        f"nullif(count(*) FILTER (WHERE {_MALFORMED}), 0) AS kept FROM feed UNION ALL "
+        f"SELECT 'missing_id', count(*) FILTER (WHERE {_ANONYMOUS}), nullif(count(*) FILTER (WHERE {_ANONYMOUS}), 0) FROM feed",
+    ),
+    "published_reports": _PUBLISHED,
     "stream_rejects": _q(
         FEED,
         select=f"SELECT seq, 'malformed' AS reason FROM feed WHERE {_MALFORMED} "

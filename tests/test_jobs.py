@@ -1,9 +1,13 @@
+import time
+
 import pytest
 
 from ledgerloom import jobs
+from ledgerloom.plans import load
 from ledgerloom.session import new_workspace
 from ledgerloom.sources import tables
 from ledgerloom.sources.store import LedgerStore
+from ledgerloom.streaming import summaries
 from tests.conftest import rows, stamp
 
 T1 = stamp("2025-01-01T00:00:00")
@@ -81,17 +85,28 @@ def test_follow_is_wired(spark, paths, monkeypatch):
     started = {}
 
     class Query:
-        def awaitTermination(self):
-            started["waited"] = True
+        recentProgress = ()
 
     def fake(store, events, read_source, checkpoint, **options):
         started.update(options, isStreaming=events.isStreaming, rows=read_source().count())
-        LedgerStore(spark, store.root)
+        load.load(store, read_source())
         return Query()
 
+    def run_until(query, stopping, beside):
+        # Reports come from the clock beside the stream, not from its micro-batches.
+        try:
+            deadline = time.time() + 90
+            while summaries.published(spark, f"{paths}/reports") is None and time.time() < deadline:
+                time.sleep(0.2)
+        finally:
+            beside[0].stop()
+        started["waited"] = not stopping.is_set()
+
     monkeypatch.setattr(jobs.apply, "snapshot_then_tail", fake)
+    monkeypatch.setattr(jobs.apply, "run_until", run_until)
     spark.createDataFrame([("{}",)], "value string").write.text(f"{paths}/feed")
     run(spark, "follow", "--source", f"{paths}/source", "--store", f"{paths}/store", "--feed", f"{paths}/feed",
-        "--checkpoint", f"{paths}/cp")
+        "--checkpoint", f"{paths}/cp", "--reports", f"{paths}/reports", "--refresh", "1 second")
     assert started["waited"] and started["isStreaming"] and started["rows"] == 2
-    assert started["trigger"] == {"processingTime": "1 second"}
+    assert started["trigger"] == {"processingTime": "1 second"} and "after_batch" not in started
+    assert summaries.read_published(spark, f"{paths}/reports", "count").first().project_count == 2
