@@ -306,6 +306,25 @@ def _on_feed(report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: comparable(report(fixture.feed(spark, sf)))
 
 
+def _asked_renames(led: DataFrame) -> DataFrame:
+    """Renames of every kind by the project's number: plain ones, chains, swaps, shared and taken names, ids that are not there."""
+    number = "CAST(split_part(id_root, '-', 2) AS BIGINT)"
+    after, before = fixture.project_id(f"({number} + 1)"), fixture.project_id(f"({number} - 1)")
+    kinds = [
+        ("0, 5", "id_root", "concat('NEW-', id_root)"), ("1", "id_root", "concat('X-', id_root)"), ("1", "id_root", "concat('Y-', id_root)"),
+        ("2", "id_root", f"concat('SHARED-', CAST({number} DIV 100 AS STRING))"), ("4, 6, 8, 10, 11, 12", "id_root", after),
+        ("9", "id_root", before), ("14", "id_root", "''"), ("15", "concat('GHOST-', id_root)", "concat('Z-', id_root)"),
+        ("16", "id_root", "id_root"), ("17", "CAST(NULL AS STRING)", "id_root"),
+    ]
+    asked = ", ".join(f"CASE WHEN {number} % 20 IN ({k}) THEN struct({old} AS old_id, {new} AS new_id) END" for k, old, new in kinds)
+    return led.selectExpr(f"explode(array({asked})) AS asked").where("asked IS NOT NULL").select("asked.*")
+
+
+def _renamed_ledger(led: DataFrame) -> DataFrame:
+    renames = ch.followed(ch.rename_outcomes(led, _asked_renames(led)))
+    return ch.cascade_rename(led.select("id_root", "tahun_rkap"), renames)
+
+
 def _children(report: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: comparable(
         report(fixture.monitoring(spark, sf), fixture.feed(spark, sf)).select(
@@ -356,6 +375,8 @@ CHANGES: dict[str, Query] = {
         lambda mon, led: ch.orphans(mon, led).select("id", "id_root")
     ),
     "cascade_delete": _children(lambda mon, feed: ch.cascade_delete(mon, _deleted(feed))),
+    "rename_outcomes": _on_source(lambda led: ch.rename_outcomes(led, _asked_renames(led))),
+    "renamed_ledger": _on_source(_renamed_ledger),
     "cascade_rename": _children(lambda mon, feed: ch.cascade_rename(mon, _renames(feed))),
 }
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.labels import month_number
 from ledgerloom.schema import INVESTMENT_TYPES, ISSUE_STATUSES, MONTHLY
+from ledgerloom.session import new_workspace
 
 PROGRESS_COLUMNS = [
     "progres_description", "issue_categories", "issue_description", "action_target",
@@ -298,3 +299,79 @@ def rename_rejects(renames: DataFrame) -> DataFrame:
         .where(F.col("least") != F.col("most"))
     )
     return renames.join(several, "old_id", "left_semi").withColumn("reason", F.lit("several_names"))
+
+
+# ---- renames of ledger keys ----------------------------------------------------------------
+
+
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    """Rows that are read again and again, written to the shared folder once."""
+    path = new_workspace(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _marked_renames(led: DataFrame, renames: DataFrame) -> DataFrame:
+    """Distinct renames with what is wrong with each by itself or beside others, and whether its new id is in the ledger."""
+    asked = renames.select("old_id", "new_id").distinct()
+    ids = asked.select(F.col("old_id").alias("id_root")).union(asked.select("new_id")).distinct()
+    known = known_keys(led, ids)
+    old, new = (known.select(F.col("id_root").alias(c), F.lit(True).alias(f"{c}_known")) for c in ("old_id", "new_id"))
+    blank = (F.coalesce("old_id", F.lit("")) == "") | (F.coalesce("new_id", F.lit("")) == "")
+    alone = asked.join(old, "old_id", "left").join(new, "new_id", "left").select(
+        "old_id", "new_id", F.coalesce("new_id_known", F.lit(False)).alias("held"),
+        F.when(blank, "missing_id").when(F.col("old_id") == F.col("new_id"), "same_name")
+        .when(F.col("old_id_known").isNull(), "unknown_id").alias("reason"),
+    )
+    return _crowded(_crowded(alone, "old_id", "several_names"), "new_id", "shared_name")
+
+
+def _crowded(renames: DataFrame, column: str, reason: str) -> DataFrame:
+    """Mark the good renames that share a value of ``column``."""
+    crowd = (
+        renames.where("reason IS NULL").groupBy(column).agg(F.count("*").alias("_n")).where("_n > 1").select(column, F.lit(reason).alias("_r"))
+    )
+    marked = renames.join(crowd, column, "left").withColumn("reason", F.coalesce("reason", "_r"))
+    return marked.select("old_id", "new_id", "held", "reason")
+
+
+def rename_outcomes(led: DataFrame, renames: DataFrame) -> DataFrame:
+    """Every distinct rename (old_id, new_id) of ledger keys with the ``reason`` why it can't be followed, NULL where it can.
+
+    All renames happen at once, so chains (A to B while B moves on) and swaps are followed. Refused are renames without an id, to the
+    same name, of an id that the ledger does not hold, of one id to several names, of several ids to one name, and those that lead
+    to an id that stays, directly (``name_in_use``) or by way of renames that are refused for it (``blocked``).
+
+    What is left by itself is paths and rings. Where a path ends is found by doubling: every round joins what is known so
+    far with itself, so a chain of n renames takes log n joins of the renames, whatever the ledger's size.
+    """
+    marked = _written(_marked_renames(led, renames), "renames")
+    good = marked.where("reason IS NULL").select("old_id", "new_id", "held")
+    # The end of the way as far as it is known; `open` while the end is renamed itself.
+    steps = good.select(F.col("old_id").alias("end"), F.lit(True).alias("open"))
+    ways = good.withColumnRenamed("new_id", "end").join(steps, "end", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    ways = _written(ways.select("old_id", "end", "held", "open"), "rename-ways")
+    unsettled = ways.where("open").count()
+    while unsettled:
+        on = ways.selectExpr("old_id AS end", "end AS _end", "held AS _held", "open AS _open")
+        ways = _written(
+            ways.join(on, "end", "left").selectExpr(
+                "old_id", "coalesce(_end, end) AS end", "CASE WHEN open THEN _held ELSE held END AS held",
+                "open AND coalesce(_open, false) AS open",
+            ),
+            "rename-ways",
+        )
+        before, unsettled = unsettled, ways.where("open").count()
+        # Every round settles some of each path; what is left then is rings, which end nowhere.
+        if unsettled == before:
+            break
+    stuck = ways.where("NOT open AND held").select("old_id", F.col("end").alias("_end"))
+    last = F.when(F.col("_end") == F.col("new_id"), "name_in_use").otherwise("blocked")
+    return marked.join(stuck, "old_id", "left").select(
+        "old_id", "new_id", F.coalesce("reason", F.when(F.col("_end").isNotNull(), last)).alias("reason")
+    )
+
+
+def followed(outcomes: DataFrame) -> DataFrame:
+    """The renames to follow, for the ledger and its children alike (see :func:`cascade_rename`)."""
+    return outcomes.where("reason IS NULL").select("old_id", "new_id")

@@ -624,6 +624,44 @@ _CHANGE_STATE = (
     f"WHEN tahun_rkap <= 2000 AND {_TOUCHED} THEN '{{changed}}' END"
 )
 
+_NUMBER = "CAST(split_part(id_root, '-', 2) AS BIGINT)"
+
+
+def _project(number: str) -> str:
+    return f"'PRJ-' || lpad(CAST({number} AS VARCHAR), CAST(greatest(length(CAST({number} AS VARCHAR)), 8) AS INTEGER), '0') || '-00' || ({number} % 3 + 1)"
+
+
+_ASKED = f"""numbered AS (SELECT id_root, {_NUMBER} AS n, {_NUMBER} % 20 AS k FROM led),
+asked AS (
+    SELECT id_root AS old_id, 'NEW-' || id_root AS new_id FROM numbered WHERE k IN (0, 5)
+    UNION SELECT id_root, unnest(['X-' || id_root, 'Y-' || id_root]) FROM numbered WHERE k = 1
+    UNION SELECT id_root, 'SHARED-' || (n // 100) FROM numbered WHERE k = 2
+    UNION SELECT id_root, {_project("(n + 1)")} FROM numbered WHERE k IN (4, 6, 8, 10, 11, 12)
+    UNION SELECT id_root, {_project("(n - 1)")} FROM numbered WHERE k = 9
+    UNION SELECT id_root, '' FROM numbered WHERE k = 14
+    UNION SELECT 'GHOST-' || id_root, 'Z-' || id_root FROM numbered WHERE k = 15
+    UNION SELECT id_root, id_root FROM numbered WHERE k = 16
+    UNION SELECT NULL, id_root FROM numbered WHERE k = 17
+), alone AS (
+    SELECT *, CASE WHEN coalesce(old_id, '') = '' OR coalesce(new_id, '') = '' THEN 'missing_id' WHEN old_id = new_id THEN 'same_name'
+        WHEN old_id NOT IN (SELECT id_root FROM led) THEN 'unknown_id' END AS r1 FROM asked
+), several AS (
+    SELECT *, CASE WHEN r1 IS NULL AND count(*) FILTER (WHERE r1 IS NULL) OVER (PARTITION BY old_id) > 1 THEN 'several_names' END AS r2
+    FROM alone
+), shared AS (
+    SELECT *, CASE WHEN r1 IS NULL AND r2 IS NULL AND count(*) FILTER (WHERE r1 IS NULL AND r2 IS NULL) OVER (PARTITION BY new_id) > 1
+        THEN 'shared_name' END AS r3 FROM several
+), good AS (SELECT old_id, new_id FROM shared WHERE r1 IS NULL AND r2 IS NULL AND r3 IS NULL),
+walk AS (
+    SELECT old_id AS start, new_id AS goal FROM good
+    UNION ALL SELECT w.start, g.new_id FROM walk w JOIN good g ON g.old_id = w.goal WHERE g.old_id <> w.start
+), stuck AS (
+    SELECT start, goal FROM walk WHERE goal NOT IN (SELECT old_id FROM good) AND goal IN (SELECT id_root FROM led)
+), outcomes AS (
+    SELECT old_id, new_id, coalesce(r1, r2, r3, CASE WHEN goal = new_id THEN 'name_in_use' WHEN goal IS NOT NULL THEN 'blocked' END) AS reason
+    FROM shared LEFT JOIN stuck ON start = old_id AND r1 IS NULL AND r2 IS NULL AND r3 IS NULL
+)"""
+
 CHANGES = {
     "dedup_latest": _q(
         FEED, select=f"SELECT id_root, timestamp AS updated_at, seq, {_dbl('nilai', 'nilai')} FROM lastop"
@@ -708,6 +746,12 @@ CHANGES = {
     "cascade_delete": _q(
         MON, FEED, select=f"SELECT id, id_root, status_monitoring FROM mon WHERE NOT {_GONE}"
     ),
+    "rename_outcomes": _q(f"RECURSIVE {LED}", _ASKED, select="SELECT * FROM outcomes"),
+    "renamed_ledger": _q(
+        f"RECURSIVE {LED}", _ASKED,
+        select="SELECT coalesce(o.new_id, l.id_root) AS id_root, tahun_rkap FROM led l "
+        "LEFT JOIN (SELECT * FROM outcomes WHERE reason IS NULL) o ON o.old_id = l.id_root",
+    ),
     "cascade_rename": _q(
         MON, FEED,
         select="SELECT id, CASE WHEN id_root IN (SELECT id_root FROM lastop WHERE operation = 'INSERT') "

@@ -245,3 +245,45 @@ def test_changes_that_hit_nothing_are_reported(spark, make):
     ]
     assert rows(ch.refused_changes(led, asked), "n") == [(3,), (4,), (5,), (6,)]
     assert ch.refused_changes(led.where("false"), asked.where("false")).count() == 0
+
+
+def test_renames_that_conflict_are_refused_with_their_reason(spark, make):
+    led = make(*({"id_root": k} for k in ("A", "B", "C", "D", "E", "F", "G", "H", "I", "J", "K", "L", "M", "N")))
+    asked = [
+        ("A", "B"), ("C", "B"),  # share a name: both stay, and so no two rows B
+        ("D", "E"), ("E", "D"),  # a swap
+        ("F", "G"), ("G", "H"), ("H", "new"),  # a chain into the open
+        ("I", "J"), ("J", "K"),  # a chain into K, which stays
+        ("L", "l1"), ("L", "l2"), ("M", "L"),  # L stays, as it is to have two names
+        ("none", "z"), ("N", "none"),  # nothing to move, so its name is free
+        (None, "x"), ("A", None), ("A", ""), ("B", "B"), ("N", "none"),
+    ]
+    renames = spark.createDataFrame(asked, "old_id string, new_id string").withColumn("note", F.lit("extra"))
+    outcomes = ch.rename_outcomes(led, renames)
+    reasons = {(r.old_id, r.new_id): r.reason for r in outcomes.collect()}
+    assert len(reasons) == outcomes.count() == len(set(asked))
+    assert reasons == {
+        ("A", "B"): "shared_name", ("C", "B"): "shared_name", ("D", "E"): None, ("E", "D"): None,
+        ("F", "G"): None, ("G", "H"): None, ("H", "new"): None, ("I", "J"): "blocked", ("J", "K"): "name_in_use",
+        ("L", "l1"): "several_names", ("L", "l2"): "several_names", ("M", "L"): "name_in_use",
+        ("none", "z"): "unknown_id", ("N", "none"): None, (None, "x"): "missing_id", ("A", None): "missing_id",
+        ("A", ""): "missing_id", ("B", "B"): "same_name",
+    }
+    after = ch.cascade_rename(led.select("id_root"), ch.followed(outcomes))
+    assert rows(after) == [(k,) for k in ("A", "B", "C", "D", "E", "G", "H", "I", "J", "K", "L", "M", "new", "none")]
+
+
+def test_long_chains_and_rings_of_renames(spark, make):
+    keys = [f"k{i:02d}" for i in range(40)]
+    led = make(*({"id_root": k} for k in keys))
+
+    def outcome(pairs):
+        return {r.old_id: r.reason for r in ch.rename_outcomes(led, spark.createDataFrame(pairs, "old_id string, new_id string")).collect()}
+
+    ring = list(zip(keys[:7], keys[1:7] + keys[:1]))
+    chain = list(zip(keys[10:30], keys[11:30] + ["free"]))
+    stopped = list(zip(keys[31:39], keys[32:40]))
+    found = outcome(ring + chain + stopped)
+    assert all(found[a] is None for a, _ in ring + chain)
+    assert [found[a] for a, _ in stopped] == ["blocked"] * 7 + ["name_in_use"]
+    assert outcome([]) == {}
