@@ -25,7 +25,7 @@ from ledgerloom.schema import (
 )
 from ledgerloom.session import new_workspace
 from ledgerloom.sources import feed as feeds
-from ledgerloom.sources import fixture
+from ledgerloom.sources import fixture, tables
 from ledgerloom.sources.store import LedgerStore
 from ledgerloom.streaming import apply, summaries
 
@@ -443,6 +443,14 @@ def incremental_load(spark: SparkSession, sf: str) -> DataFrame:
     return _loaded(store)
 
 
+def changed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What was stamped after a moment, from a source that is written in the order of its stamps."""
+    path = f"{new_workspace(spark, 'by-time')}/source"
+    tables.write_by_time(fixture.ledger(spark, sf), path)
+    changed = tables.changed_since(tables.read_ledger(spark, path), _at(LOADED_UNTIL))
+    return comparable(changed.select("id_root", "rkap", "updated_at"))
+
+
 def compacted_load(spark: SparkSession, sf: str) -> DataFrame:
     """As the incremental load, with the change batches folded in."""
     store = LedgerStore(spark, new_workspace(spark, "compacted"))
@@ -703,6 +711,7 @@ LOADS: dict[str, Query] = {
     "full_load": full_load,
     "incremental_load": incremental_load,
     "compacted_load": compacted_load,
+    "changed_rows": changed_rows,
     "stored_year_summary": stored_year_summary,
     "stream_apply": stream_apply,
     "stream_rejects": stream_rejects,

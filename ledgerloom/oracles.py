@@ -919,6 +919,9 @@ LOADS = {
     "stored_year_summary": _conformed(
         f"SELECT {REGIONAL} FROM conf WHERE tahun_rkap = 1998 GROUP BY klaster_regional"
     ),
+    "changed_rows": _led(
+        "SELECT id_root, CAST(rkap AS DOUBLE) AS rkap, updated_at FROM led WHERE updated_at > TIMESTAMP '1999-01-01 00:00:00'"
+    ),
     "stream_apply": _AFTER_FEED,
     "stream_ties": _AFTER_FEED,
     "mixed_writers": _AFTER_FEED,

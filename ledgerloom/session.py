@@ -14,6 +14,8 @@ from pyspark.sql import SparkSession
 # (8000 bytes of bytecode); from there on it would be interpreted, several times slower. With this
 # limit Spark leaves such a stage unfused and compiles its expressions in pieces.
 WIDE_ROW_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# Parquet notes least and greatest values for stamps of this kind only, and readers skip by them.
+STAMP_SETTINGS = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -22,7 +24,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     The layout of the store relies on adaptive execution to split a hot year.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
-    for key, value in WIDE_ROW_SETTINGS.items():
+    for key, value in (WIDE_ROW_SETTINGS | STAMP_SETTINGS).items():
         spark.conf.set(key, value)
     return spark
 
