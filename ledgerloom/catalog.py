@@ -203,6 +203,24 @@ SHAPES: dict[str, Query] = {
 # ---- keyed changes -------------------------------------------------------------------------
 
 
+def _insert_outcomes(led: DataFrame) -> DataFrame:
+    """As the insert, with some ids gone and some rows sent twice: what becomes of every row."""
+    number = F.expr("CAST(split_part(id_root, '-', 2) AS BIGINT)")
+    incoming = led.where(F.col("tahun_rkap") >= 1997).withColumn("id_root", F.when(number % 30 != 7, F.col("id_root")))
+    sent = incoming.unionByName(incoming.where(number % 30 == 8))
+    marked = ch.mark_inserts(led.where(F.col("tahun_rkap") <= 1997), sent)
+    return marked.groupBy("tahun_rkap", "outcome").agg(F.count("*").alias("sent_rows"), F.countDistinct("id_root").alias("ids"))
+
+
+def _upsert_outcomes(led: DataFrame) -> DataFrame:
+    """Rows sent with a later, the same or an earlier stamp, or new to the books."""
+    number = F.expr("CAST(split_part(id_root, '-', 2) AS BIGINT)")
+    shift = (number % 3 - 1).cast("int")
+    sent = led.withColumn("updated_at", F.col("updated_at") + F.make_dt_interval(shift))
+    marked = ch.mark_upserts(led.where(F.col("tahun_rkap") <= 1997), sent)
+    return marked.select("id_root", "outcome")
+
+
 def _deleted(feed: DataFrame) -> DataFrame:
     return ch.last_operation(feed).where(F.col("operation") == "DELETE")
 
@@ -346,6 +364,8 @@ CHANGES: dict[str, Query] = {
     "insert_rows": _on_source(
         lambda led: _insert_parts(led)[0].select("id_root", "tahun_rkap", "type_investasi", "rkap")
     ),
+    "insert_outcomes": _on_source(_insert_outcomes),
+    "upsert_outcomes": _on_source(_upsert_outcomes),
     "insert_rejects": _on_source(lambda led: _insert_parts(led)[1]),
     "partial_update": _with_feed(
         lambda led, feed: ch.partial_update(

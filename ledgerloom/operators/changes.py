@@ -72,61 +72,89 @@ def known_keys(led: DataFrame, keys: DataFrame) -> DataFrame:
     return led.select("id_root").join(keys.select("id_root"), "id_root", "left_semi").distinct()
 
 
-def insert_rows(
-    led: DataFrame, incoming: DataFrame, order: Sequence[Column] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """The ledger with the new rows, and what was refused as (id_root, reason, refused_rows).
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    """Rows that are read again and again, written to the shared folder once."""
+    path = new_workspace(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def mark_inserts(led: DataFrame, incoming: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    """Every incoming row with its ``outcome``: added, or refused as missing (no id), exists or repeated.
 
     A key the ledger holds refuses all its incoming rows, a key repeated in the batch all but the
-    first under ``order``. An unknown investment type becomes NULL.
+    first under ``order``. An unknown investment type becomes NULL. The incoming rows are read once; a key that many of
+    them share is found once per task, and its rows are marked where they lie.
     """
     kind = F.col("type_investasi")
-    clean = incoming.withColumn("type_investasi", F.when(kind.isin(*INVESTMENT_TYPES), kind))
-    arrival = list(order) or [F.col("updated_at").asc_nulls_last(), F.xxhash64(*incoming.columns)]
-    first = newest_per_key(clean.where(F.col("id_root").isNotNull()), ["id_root"], arrival)
-    known = known_keys(led, incoming)
-    added = delete_keys(first, known)
-
-    reason = (
-        "CASE WHEN id_root IS NULL THEN 'missing' WHEN known THEN 'exists' ELSE 'repeated' END"
+    rows = _written(
+        incoming.withColumn("type_investasi", F.when(kind.isin(*INVESTMENT_TYPES), kind)).withColumns(
+            {"_tie": F.xxhash64(*incoming.columns), "_row": F.monotonically_increasing_id()}
+        ),
+        "incoming",
+    )
+    arrival = [*(order or [F.col("updated_at").asc_nulls_last(), F.col("_tie")]), F.col("_row")]
+    first = newest_per_key(rows.where(F.col("id_root").isNotNull()), ["id_root"], arrival)
+    known = known_keys(led, rows).withColumn("_known", F.lit(True))
+    outcome = (
+        F.when(F.col("id_root").isNull(), "missing").when(F.col("_known"), "exists")
+        .when(F.col("_first"), "added").otherwise("repeated")
     )
-    refused = (
-        incoming.groupBy("id_root")
-        .agg(F.count("*").alias("n"))
-        .join(known.withColumn("known", F.lit(True)), "id_root", "left")
-        .selectExpr("id_root", f"{reason} AS reason", "n")
-        .selectExpr("id_root", "reason", "n - int(reason = 'repeated') AS refused_rows")
-        .where("refused_rows > 0")
+    return (
+        rows.join(first.select("_row", F.lit(True).alias("_first")), "_row", "left").join(known, "id_root", "left")
+        .select(*incoming.columns, outcome.alias("outcome"))
     )
-    return led.unionByName(added), refused
+
+
+def insert_rows(
+    led: DataFrame, incoming: DataFrame, order: Sequence[Column] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """The ledger with the new rows, and what was refused as (id_root, reason, refused_rows); see :func:`mark_inserts`."""
+    marked = _written(mark_inserts(led, incoming, order), "marked")
+    refused = marked.where("outcome <> 'added'").groupBy("id_root", F.col("outcome").alias("reason"))
+    added = marked.where("outcome = 'added'").drop("outcome")
+    return led.unionByName(added), refused.agg(F.count("*").alias("refused_rows"))
 
 
 def delete_keys(led: DataFrame, keys: DataFrame) -> DataFrame:
     return led.join(keys.select("id_root"), "id_root", "left_anti").select(*led.columns)
 
 
+def mark_upserts(led: DataFrame, incoming: DataFrame, key_cols: Sequence[str] = ("id_root",)) -> DataFrame:
+    """The newest incoming row per key with its ``outcome``: added, replaced, or older than what the ledger holds.
+
+    On equal stamps the incoming row counts. The incoming rows are read once; of the ledger, keys and stamps are.
+    """
+    fresh = _written(dedup_latest(incoming, key_cols), "incoming")
+
+    def same(left: str, right: str) -> Column:
+        return F.expr(" AND ".join(f"{left}{k} <=> {right}{k}" for k in key_cols))
+
+    keys = fresh.selectExpr(*(f"{k} AS _new_{k}" for k in key_cols))
+    held = led.select(*key_cols, "updated_at").join(keys, same("", "_new_"), "left_semi")
+    held = held.selectExpr(*(f"{k} AS _held_{k}" for k in key_cols), "updated_at AS _at", "true AS _is_held")
+    outcome = (
+        F.when(F.col("_is_held").isNull(), "added")
+        .when(F.col("_at").isNull() | (F.col("updated_at") >= F.col("_at")), "replaced").otherwise("older")
+    )
+    return fresh.join(held, same("", "_held_"), "left").select(*fresh.columns, outcome.alias("outcome"))
+
+
 def upsert(
     led: DataFrame, incoming: DataFrame, key_cols: Sequence[str] = ("id_root",)
 ) -> DataFrame:
     """Newest version per key of a ledger's row and the incoming ones; on equal stamps the latter.
 
-    The incoming rows are reduced to one per key and joined to the ledger, so a batch small enough
-    to broadcast leaves the ledger unshuffled. ``led`` holds one row per key.
+    The incoming rows are reduced to one per key and marked, and what replaces a row is joined to the ledger, so a
+    batch small enough to broadcast leaves the ledger unshuffled. ``led`` holds one row per key.
     """
-    fresh = dedup_latest(incoming, key_cols)
-    renamed = fresh.selectExpr(*(f"{c} AS _new_{c}" for c in led.columns), "true AS _is_new")
+    marked = _written(mark_upserts(led, incoming, key_cols), "marked")
+    newer = marked.where("outcome = 'replaced'").selectExpr(*(f"{c} AS _new_{c}" for c in led.columns), "true AS _is_new")
     same_key = F.expr(" AND ".join(f"{k} <=> _new_{k}" for k in key_cols))
-    newer = "_is_new AND (updated_at IS NULL OR _new_updated_at >= updated_at)"
-    kept = led.join(renamed, same_key, "left").selectExpr(
-        *(f"CASE WHEN {newer} THEN _new_{c} ELSE {c} END AS {c}" for c in led.columns)
-    )
-    held = led.select(*key_cols).join(
-        renamed.select(*(f"_new_{k}" for k in key_cols)), same_key, "left_semi"
+    kept = led.join(newer, same_key, "left").selectExpr(
+        *(f"CASE WHEN _is_new THEN _new_{c} ELSE {c} END AS {c}" for c in led.columns)
     )
-    added = renamed.join(held, same_key, "left_anti").selectExpr(
-        *(f"_new_{c} AS {c}" for c in led.columns)
-    )
-    return kept.unionByName(added)
+    return kept.unionByName(marked.where("outcome = 'added'").select(*led.columns))
 
 
 # ---- column updates ------------------------------------------------------------------------
@@ -304,13 +332,6 @@ def rename_rejects(renames: DataFrame) -> DataFrame:
 # ---- renames of ledger keys ----------------------------------------------------------------
 
 
-def _written(rows: DataFrame, label: str) -> DataFrame:
-    """Rows that are read again and again, written to the shared folder once."""
-    path = new_workspace(rows.sparkSession, label)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _marked_renames(led: DataFrame, renames: DataFrame) -> DataFrame:
     """Distinct renames with what is wrong with each by itself or beside others, and whether its new id is in the ledger."""
     asked = renames.select("old_id", "new_id").distinct()

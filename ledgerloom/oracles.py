@@ -746,6 +746,17 @@ CHANGES = {
     "cascade_delete": _q(
         MON, FEED, select=f"SELECT id, id_root, status_monitoring FROM mon WHERE NOT {_GONE}"
     ),
+    "insert_outcomes": _led(
+        "SELECT tahun_rkap, outcome, count(*) AS sent_rows, count(DISTINCT sent_id) AS ids FROM (SELECT tahun_rkap, sent_id, "
+        "CASE WHEN sent_id IS NULL THEN 'missing' WHEN tahun_rkap = 1997 THEN 'exists' WHEN copy = 0 THEN 'added' ELSE 'repeated' END "
+        f"AS outcome FROM (SELECT tahun_rkap, CASE WHEN {_NUMBER} % 30 <> 7 THEN id_root END AS sent_id, "
+        f"unnest(CASE WHEN {_NUMBER} % 30 = 8 THEN [0, 1] ELSE [0] END) AS copy FROM led WHERE tahun_rkap >= 1997)) "
+        "GROUP BY tahun_rkap, outcome"
+    ),
+    "upsert_outcomes": _led(
+        f"SELECT id_root, CASE WHEN tahun_rkap > 1997 THEN 'added' WHEN {_NUMBER} % 3 >= 1 OR updated_at IS NULL THEN 'replaced' "
+        "ELSE 'older' END AS outcome FROM led"
+    ),
     "rename_outcomes": _q(f"RECURSIVE {LED}", _ASKED, select="SELECT * FROM outcomes"),
     "renamed_ledger": _q(
         f"RECURSIVE {LED}", _ASKED,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import changes as ch
 from ledgerloom.operators import compare
 from ledgerloom.schema import MONTHS, REALISASI_MONTHS
+from ledgerloom.session import new_workspace
 from tests.conftest import rows, stamp
 
 NOW = stamp("2025-06-01T00:00:00")
@@ -111,11 +112,18 @@ def test_upsert_under_a_wider_key_matches_null_parts(make):
 
 def test_a_small_batch_leaves_the_ledger_unshuffled(spark, make):
     led = ledger(make, *(f"K{i}" for i in range(50)))
-    for after in (ch.upsert(led, ledger(make, "K1")), ch.insert_rows(led, ledger(make, "K1"))[0]):
+
+    def plan_of(after):
         after.collect()
-        plan = after._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan.split("Initial Plan")[0]
-        assert "SortMergeJoin" not in plan.split("Initial Plan")[0]
+        return after._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    upserted = plan_of(ch.upsert(led, ledger(make, "K1")))
+    assert "BroadcastHashJoin" in upserted and "SortMergeJoin" not in upserted
+    # What is added is settled before, so the ledger's rows only pass through.
+    inserted = plan_of(ch.insert_rows(led, ledger(make, "K1"))[0])
+    assert "Join" not in inserted and "Exchange" not in inserted
+    marked = plan_of(ch.mark_inserts(led, ledger(make, "K1")))
+    assert "BroadcastHashJoin" in marked
 
 
 # ---- column updates ----
@@ -287,3 +295,23 @@ def test_long_chains_and_rings_of_renames(spark, make):
     assert all(found[a] is None for a, _ in ring + chain)
     assert [found[a] for a, _ in stopped] == ["blocked"] * 7 + ["name_in_use"]
     assert outcome([]) == {}
+
+
+def test_incoming_rows_are_read_once_and_marked(spark, make):
+    path = new_workspace(spark, "sent")
+    led = make({"id_root": "A", "updated_at": OLD}, {"id_root": "B", "updated_at": NOW}, {"id_root": "C"})
+    make({"id_root": "A", "updated_at": NOW, "pic": "new"}, {"id_root": "A", "updated_at": OLD, "pic": "old"}, {"id_root": "B", "updated_at": OLD},
+         {"id_root": "C", "updated_at": OLD}, {"id_root": "D", "updated_at": OLD}, {"id_root": "D", "updated_at": NOW, "pic": "last"}, {}).write.parquet(path)
+    sent = spark.read.parquet(path)
+    marked = ch.mark_upserts(led, sent.where("id_root IS NOT NULL"))
+    assert rows(marked, "id_root", "outcome", "pic") == [
+        ("A", "replaced", "new"), ("B", "older", None), ("C", "replaced", None), ("D", "added", "last")]
+    inserts = ch.mark_inserts(led, sent)
+    assert rows(inserts, "id_root", "outcome", "pic") == [
+        ("A", "exists", "new"), ("A", "exists", "old"), ("B", "exists", None), ("C", "exists", None), ("D", "added", None),
+        ("D", "repeated", "last"), (None, "missing", None)]
+    after, refused = ch.insert_rows(led, sent)
+    # The input was read when it was marked; what is made of it reads the marked rows.
+    for result in (marked, inserts, after, refused, ch.upsert(led, sent)):
+        assert path not in result._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(path in f for f in result.inputFiles())
