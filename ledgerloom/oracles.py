@@ -308,6 +308,13 @@ LISTING = (
 )
 _NEWEST = "ORDER BY updated_at DESC NULLS FIRST, id_root ASC NULLS LAST"
 
+_ENRICHED = (
+    "SELECT id_root, klaster_regional, entitas_terminal, project_definition, type_investasi, "
+    f"tahun_rkap, status_investasi, status_issue, {_dbl('rkap', 'rkap')}, "
+    f"{_dbl('nilai_kontrak', 'nilai_kontrak')}, {_dbl('kebutuhan_dana', 'kebutuhan_dana')}, "
+    f"asset_categories, {_dbl(REAL, 'total_realisasi')}, latitude, longitude, updated_at FROM led"
+)
+
 _s_curve_rows = " UNION ALL ".join(
     f"SELECT klaster_regional, {i + 1} AS month_order, '{MONTH_NAMES[i]}' AS month, "
     f"sum({RKAP_MONTHS[i]}) AS p, sum({REALISASI_MONTHS[i]}) AS a FROM led GROUP BY klaster_regional"
@@ -368,6 +375,11 @@ REPORTS = {
     "read_issues": _SQL_ISSUES,
     "read_monthly": _SQL_MONTHLY,
     "read_type": _SQL_TYPE,
+    "read_budget_actual_partial": _read_budget(),
+    "read_progress_partial": _SQL_PROGRESS,
+    "read_issues_partial": _SQL_ISSUES,
+    "read_monthly_partial": _SQL_MONTHLY,
+    "read_type_partial": _SQL_TYPE,
     "ledger_count": _conformed(f"SELECT {COUNT} FROM conf"),
     "kpi_totals": _conformed(
         f"SELECT *, {_band('open_issues', [(3, 'yellow'), (5, 'red')], 'green')} AS color FROM ("
@@ -511,12 +523,8 @@ SHAPES = {
     "filtered_count": _led(
         f"SELECT {COUNT} FROM led WHERE klaster_regional = 'ASIA' AND status_issue = 'Open'"
     ),
-    "enriched_listing": _led(
-        "SELECT id_root, klaster_regional, entitas_terminal, project_definition, type_investasi, "
-        f"tahun_rkap, status_investasi, status_issue, {_dbl('rkap', 'rkap')}, "
-        f"{_dbl('nilai_kontrak', 'nilai_kontrak')}, {_dbl('kebutuhan_dana', 'kebutuhan_dana')}, "
-        f"asset_categories, {_dbl(REAL, 'total_realisasi')}, latitude, longitude, updated_at FROM led"
-    ),
+    "enriched_listing": _led(_ENRICHED),
+    "enriched_listing_ordered": _led(f"{_ENRICHED} {_NEWEST}"),
     "map_points": _led(
         "SELECT latitude, longitude, id_root, project_definition, klaster_regional, status_investasi, "
         f"{_dbl('rkap', 'rkap')} FROM led WHERE latitude IS NOT NULL AND longitude IS NOT NULL"
@@ -863,6 +871,12 @@ QUALITY = {
     "quality_ledger_constraint_counts": _led(
         f"SELECT rule, count(*) AS violations FROM ({_LEDGER_BROKEN}) GROUP BY rule"
     ),
+    "quality_ledger_duplicates": _q(
+        LED,
+        "shared AS (SELECT * REPLACE (CASE WHEN substr(id_root, 11, 2) <> '07' THEN left(id_root, 10) END AS id_root) FROM led)",
+        select=_broken(_LEDGER_RULES, "shared", "id_root") + " UNION ALL SELECT id_root, 'id_root_duplicate' "
+        "FROM shared WHERE id_root IS NOT NULL GROUP BY id_root HAVING count(*) > 1",
+    ),
     "monitoring_constraints": _q(
         LED, MON,
         select=_broken(_MONITORING_RULES, "mon", "id, id_root")

@@ -213,3 +213,25 @@ def test_s_curve_accumulates(make):
     assert [r.month_order for r in curve] == list(range(1, 13))
     assert [r.cum_plan for r in curve][:4] == [Decimal(10), Decimal(10), Decimal(15), Decimal(15)]
     assert [r.cum_actual for r in curve][:3] == [Decimal(0), Decimal(4), Decimal(4)]
+
+
+def test_readers_add_up_partial_rows_of_the_same_key(make):
+    led = make(
+        {"id_root": "a", "tahun_rkap": 2024, "klaster_regional": "R", "type_investasi": "Murni", "rkap": 10},
+        {"id_root": "b", "tahun_rkap": 2024, "klaster_regional": "R", "type_investasi": "Murni", "rkap": 30},
+        {"id_root": "c", "tahun_rkap": 2024, "klaster_regional": None, "type_investasi": "Carry Forward"},
+    )
+    whole = views.investment_type(led)
+    fed = [views.investment_type(led.where(f"id_root = '{i}'")) for i in "abc"]
+    partial = fed[0].unionByName(fed[1]).unionByName(fed[2])
+    assert partial.count() == 3 and whole.count() == 2
+    assert views.read_investment_type(partial).collect() == views.read_investment_type(whole).collect()
+    assert [r.type_investasi for r in views.read_investment_type(partial).collect()] == ["Murni", "Carry Forward"]
+
+
+def test_enriched_rows_come_newest_first_where_asked(make):
+    led = make(
+        {"id_root": "b", "updated_at": stamp("2024-01-01")}, {"id_root": "a", "updated_at": stamp("2024-01-01")},
+        {"id_root": "c", "updated_at": stamp("2024-02-01")}, {"id_root": "d"},
+    )
+    assert [r.id_root for r in shape.enriched(led, ordered=True).collect()] == ["d", "c", "a", "b"]
