@@ -1,15 +1,18 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame functions only.
 
-A candidate is a run of 16 or more characters of keys and tokens. Its features are its length, mix of characters,
-changes between kinds of characters, share of frequent letter pairs, how much of it words of a small dictionary
-cover, whether it lies in a path, and the words before it. A random forest over these, trained on labelled
-findings, gives the share of trees that call it a secret.
-
-The forest is small and fixed in size: it is trained on the driver from a bounded table of labelled findings (made by the rule
-in `labelled_findings`, features taken by the same column expressions) and becomes one column expression. Scanning is a
+A candidate is a run of 16 or more characters of keys and tokens; or six or more non-blanks that a name like
+`password`, `api_key` or `AUTH_TOKEN` sets by `=`, `=>` or `:`; or the password of a url's `user:password@`. The name and its sign are
+no part of it. Its features are its length, mix of characters, changes between kinds of characters, share of frequent letter pairs,
+how much of it words of a small dictionary cover, whether it lies in a path, and the words before it. A random forest over
+these, trained on labelled findings, gives the share of trees that call it a secret.
+
+The forest is small and fixed in size: it is trained on the driver from a bounded table of labelled texts (made by the rule
+in `labelled_findings`, candidates and features taken by the same column expressions that scan) and becomes one column expression. Scanning is a
 projection of each row by itself: no join, no shuffle, no state, whatever source or group a document belongs to.
 
-Defined cases: NULL and empty texts have no candidate; a candidate that occurs several times is a finding at each place;
+Defined cases: NULL and empty texts have no candidate; a candidate that occurs several times is a finding at each place; an unquoted
+value ends at a blank, quote, comma, semicolon, angle bracket, the `&` before a next parameter or its ninth `&`, and holds no closing `.`, `:` or
+bracket; a quoted one ends at the quote; a password in a url holds no `/`; a text of many findings takes time by its length and the findings;
 repeated rows give repeated findings; an empty table gives an empty result; other columns stay as they are in `redacted`
 and are ignored in `findings`.
 """
@@ -28,7 +31,27 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import base
 
-CANDIDATE = r"[A-Za-z0-9+/=_\-]{16,}"
+RUN = r"A-Za-z0-9+/_\-"
+#: A name that says secret, the sign that sets its value, and a scheme before the value.
+NAME = (
+    r"(?i:s(?:ecret|igning)|p(?:assw|wd|assphrase|rivate.?key)|token|a(?:pi.?key|ccess.?key|uth)|bearer|c(?:redential|lient.?key))"
+    r"[\w\-]{0,24}[\"'`]?"
+)
+SIGN = r"(?:=>?(?:[ \t]{1,3}(?=[\"'`]))?|:[ \t]{0,3}|[ \t]{1,3}(?:=>?|:)[ \t]{0,3})"
+SET = NAME + SIGN + r"(?:(?i:bearer|basic|token)[ \t]{1,3})?"
+QUOTED = r"[\"'`](?!=)[^\s\"'`]{6,}+(?=[\"'`])"
+_PLAIN = r"[^\s\"'`<>,;&]"
+_AND = r"&(?![A-Za-z_][\w.\-]{0,32}=)"
+UNQUOTED = rf"(?!=)(?:{_PLAIN}{{6,}}|{_PLAIN}{{1,5}}{_AND}{_PLAIN}+)(?:{_AND}{_PLAIN}+){{0,8}}(?<![.:)\]}}])"
+USER = r"://[^\s:/@\"']*+:"
+VALUE = rf"{SET}(?:{QUOTED}|{UNQUOTED})"
+#: What scanning takes out of a text: a set value, a url's password, or a run that is no part of a name with a value.
+CANDIDATE = (
+    rf"{VALUE}|{USER}[^\s/@\"']{{4,}}+(?=@)"
+    rf"|(?<![{RUN}])(?=[{RUN}]{{16}})(?![{RUN}]*?{VALUE})[{RUN}]{{16,}}+(?!=[{RUN}])={{0,2}}+"
+)
+#: The part of such a match that is not the candidate itself.
+PREFIX = rf"^(?:{SET}[\"'`]?(?=[^\s\"'`=])|{USER})"
 # Frequent letter pairs of Western European prose.
 PAIRS = (
     "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic "
@@ -57,7 +80,7 @@ LEADS = "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|cr
 OTHERS = "sha|md5|commit|revision|checksum|digest|integrity|etag|uuid|guid|build|hash|fingerprint|trace|example|order"
 FEATURES = (
     "length", "digits", "uppers", "hex", "changes", "pairs", "covered", "distinct", "slashes", "in_path", "lead", "other",
-    "assigned", "quoted", "dashes",
+    "assigned", "quoted", "dashes", "symbols", "userinfo",
 )
 
 
@@ -65,9 +88,9 @@ FEATURES = (
 class Settings:
     """Production parameters; `labelled` bounds the training table."""
 
-    labelled: int = 1_600
+    labelled: int = 3_000
     trees: int = 15
-    depth: int = 6
+    depth: int = 7
     least_leaf: int = 4
     tried: int = 5
     threshold: float = 0.5
@@ -102,14 +125,16 @@ def features(candidate: Column, before: Column, after: Column) -> dict[str, Colu
         "in_path": flag(F.rlike(near, F.lit(r"(://|www\.|[/.~])[^ \n\t\"']*$"))),
         "lead": flag(F.rlike(near, F.lit(f"({LEADS})[^a-z]{{0,12}}(is|for|of)?[^a-z]{{0,4}}$"))),
         "other": flag(F.rlike(near, F.lit(f"({OTHERS})[^\n]{{0,12}}$"))),
-        "assigned": flag(F.rlike(near, F.lit(r"[=:]\s*[\"']?$"))),
+        "assigned": flag(F.rlike(near, F.lit(r"[=:]>?\s*[\"'`]?$"))),
         "quoted": flag(F.rlike(near, F.lit("[\"'`]$")) & F.rlike(after, F.lit("^[\"'`]"))),
         "dashes": share("[^_-]"),
+        "symbols": share("[A-Za-z0-9+/=_-]"),
+        "userinfo": flag(F.rlike(near, F.lit("://[^ \n\t/@]*:$")) & F.startswith(after, F.lit("@"))),
     }
 
 
-def labelled_findings(count: int) -> list[tuple[str, str, str, int]]:
-    """(before, candidate, after, label) rows made by rule: secrets and what looks like them, half each."""
+def labelled_findings(count: int) -> list[tuple[str, str | None]]:
+    """(text, secret) rows made by rule: texts with one secret and texts with what only looks like one, half each."""
     rng = random.Random(41)
     pick = rng.choice
     alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -119,6 +144,13 @@ def labelled_findings(count: int) -> list[tuple[str, str, str, int]]:
     syllables = [a + b for a in PAIRS for b in ("", "n", "r", "s", "t")]
     word = lambda n: "".join(pick(syllables) for _ in range(n))
     term = lambda: pick(DICTIONARY)
+    leet = lambda w: "".join(dict(zip("aeiost", "431057")).get(c, c) if rng.random() < 0.7 else c for c in w)
+    passwords = [
+        lambda: leet(word(3)).capitalize() + pick("!?#$%&*+-_@.") + draw(alnum, rng.randint(1, 4)),
+        lambda: word(2).capitalize() + draw("0123456789", rng.randint(2, 4)) + pick(["", "!", "#", "$x", "&7"]),
+        lambda: draw(alnum + "0123456789", rng.randint(8, 15)), lambda: draw(alnum + "!#$%&*+-_@?^~", rng.randint(8, 18)),
+        lambda: leet(word(2)) + pick("!#$%&*") + draw("0123456789", rng.randint(1, 3)), lambda: hexed(pick([8, 10, 12])),
+    ]
     secrets = [
         lambda: hexed(pick([32, 40, 40, 48, 64])), lambda: raw(pick([18, 24, 32, 48])), lambda: draw(alnum, rng.randint(20, 64)),
         lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + draw(alnum, 36),
@@ -128,15 +160,24 @@ def labelled_findings(count: int) -> list[tuple[str, str, str, int]]:
     leads = [
         ('token = "', '"'), ("token: ", "\n"), ('api_key="', '"'), ("API-KEY: ", " "), ("secret=", "&"), ("password = '", "'"),
         ("Authorization: Bearer ", "\n"), ("access_key = ", " "), ('"client_secret": "', '",'), ("auth_token=", "\n"),
-        ("private key is ", " "), ('signing secret "', '"'),
+        ("private key is ", " "), ('signing secret "', '"'), ("export SERVICE_ACCESS_KEY=", "\n"), ("API_TOKEN=", "\n"), ("?auth_token=", "&page=2"),
+    ]
+    short = [
+        ('password = "', '"'), ("pwd: ", "\n"), ("api_key: ", " "), ("DB_PASSWORD=", "\n"), ('"passwd": "', '",'), ("secret = '", "'"),
+        ("?token=", "&page=2"), ("password: ", " "), ("client_key => ", " "), ("passphrase: ", "\n"),
     ]
+    sites = [("postgres://admin:", "@db.host/x"), ("https://user:", "@example.org/"), ("redis://:", "@cache:6379"), ("amqp://svc:", "@mq")]
     bare = [(" ", " "), ("the ", " of"), ('"', '"'), ("x ", "\n"), ("(", ")")]
     strong = secrets[3:8]
 
-    def positive() -> tuple[str, str, str, int]:
-        made = pick(secrets)
-        before, after = pick(bare) if made in strong and rng.random() < 0.4 else pick(leads)
-        return (word(2) + " " + before, made(), after + word(2), 1)
+    def positive() -> tuple[str, str | None]:
+        if rng.random() < 0.4:
+            (before, after), secret = pick(short + sites), pick(passwords)()
+        else:
+            made = pick(secrets)
+            before, after = pick(bare) if made in strong and rng.random() < 0.4 else pick(leads)
+            secret = made()
+        return (word(2) + " " + before + secret + after + word(2), secret)
 
     look_alikes = [
         lambda: (pick(bare), word(rng.randint(6, 14))[: rng.randint(16, 40)]),
@@ -157,11 +198,19 @@ def labelled_findings(count: int) -> list[tuple[str, str, str, int]]:
                                     "test_access_key_default", "INSERT_YOUR_TOKEN_HERE", "my_private_key_file", "dummy_secret_value"])),
         lambda: (pick(leads), word(rng.randint(6, 10)).ljust(16, "e")),
         lambda: (pick(leads), "_".join(term() for _ in range(4)).ljust(16, "s")),
+        lambda: (pick(short), pick([word(3), word(4), term().ljust(6, "s"), word(2).ljust(6, "e") + "-" + word(2), "_".join([term(), term()])])),
+        lambda: (pick(short), pick([word(3), term().ljust(6, "s")]).capitalize()),
+        lambda: (pick(short), pick(["required", "optional", "string", "********", "xxxxxxxx", "<password>", "changeme", "undefined"])),
+        lambda: (pick(short), pick(["$", "${", "%(", "{{"]) + "_".join([term(), term()]) + pick(["", "}"])),
+        lambda: (pick(short), ".".join([term(), term()]) + pick(["()", "(x)", "", "[0]"])),
+        lambda: (pick(short), draw("0123456789", rng.randint(6, 9))),
+        lambda: (pick(sites), pick(["password", "secret", "pass", word(2).ljust(6, "s"), "<password>", "${PASSWORD}", "xxxxx"])),
+        lambda: (("author: ", "\n"), word(3).capitalize()), lambda: (("tokens = ", " "), draw("0123456789", 6)),
     ]
 
-    def negative() -> tuple[str, str, str, int]:
+    def negative() -> tuple[str, str | None]:
         (before, after), made = pick(look_alikes)()
-        return (word(2) + " " + before, made, after + word(2), 0)
+        return (word(2) + " " + before + made + after + word(2), None)
 
     return [positive() if i % 2 else negative() for i in range(count)]
 
@@ -226,11 +275,12 @@ def train(rows: list[tuple], settings: Settings = Settings()) -> list[Node]:
     return out
 
 
-def training_rows(spark: SparkSession, findings: list[tuple[str, str, str, int]]) -> list[tuple]:
-    """Features and label of labelled findings, by the expressions that scanning uses."""
-    made = features(F.col("candidate"), F.col("before"), F.col("after"))
-    rows = spark.createDataFrame(findings, "before string, candidate string, after string, label int")
-    return [tuple(r) for r in rows.select(*(made[f].alias(f) for f in FEATURES), "label").collect()]
+def training_rows(spark: SparkSession, findings: list[tuple[str, str | None]]) -> list[tuple]:
+    """Features and label of every candidate that scanning finds in the labelled texts."""
+    rows = measured(spark.createDataFrame(findings, "text string, secret string"))
+    rows = rows.select("secret", F.explode("_measured").alias("m"))
+    right = F.coalesce(F.col("m.candidate") == F.col("secret"), F.lit(False)).cast("int")
+    return [tuple(r) for r in rows.select(*(f"m.{f}" for f in FEATURES), right.alias("label")).collect()]
 
 
 @cache
@@ -238,46 +288,67 @@ def _forest(spark: SparkSession, settings: Settings) -> tuple[Node, ...]:
     return tuple(train(training_rows(spark, labelled_findings(settings.labelled)), settings))
 
 
-def scanned(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows with `_gaps` and `_found`: texts between candidates, and candidates as (candidate, score)."""
-    forest = _forest(documents.sparkSession, settings)
+def measured(documents: DataFrame) -> DataFrame:
+    """The rows with `_gaps`, the texts between matches, and `_measured`: each match's prefix, candidate and features."""
     text = base.text_of()
     has = F.rlike(text, F.lit(CANDIDATE))
     none = F.array().cast("array<string>")
-    rows = documents.withColumns({
+
+    def cut(match: Column) -> Column:
+        prefix = F.regexp_extract(match, PREFIX, 0)
+        return F.struct(prefix.alias("prefix"), F.substring(match, F.length(prefix) + 1, F.length(match)).alias("candidate"))
+
+    def with_features(x: Column, i: Column) -> Column:
+        gap = F.get("_gaps", i)
+        # What was found before still stands before the next one.
+        earlier = F.when(i > 0, F.right(F.get("_cut", i - 1)["candidate"], F.lit(40))).otherwise("")
+        made = features(x["candidate"], F.concat(earlier, F.right(gap, F.lit(40)), x["prefix"]), F.get("_gaps", i + 1))
+        return F.struct(
+            x["prefix"].alias("prefix"), x["candidate"].alias("candidate"), (F.length(gap) + F.length(x["prefix"])).cast("long").alias("skipped"),
+            *(made[f].alias(f) for f in FEATURES),
+        )
+
+    return documents.withColumns({
         "_gaps": F.when(has, F.split(text, CANDIDATE)).otherwise(none),
         "_all": F.when(has, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none),
-    })
+    }).withColumn("_cut", F.transform("_all", cut)).withColumn("_measured", F.transform("_cut", with_features)).drop("_all", "_cut")
 
-    def measured(c: Column, i: Column) -> Column:
-        made = features(c, F.get("_gaps", i), F.get("_gaps", i + 1))
-        return F.struct(c.alias("candidate"), *(made[f].alias(f) for f in FEATURES))
+
+def scanned(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows with `_gaps` and `_found`: texts between matches, and (prefix, candidate, skipped, score) of each match."""
+    forest = _forest(documents.sparkSession, settings)
 
     def scored(x: Column) -> Column:
         trees = [tree.expression([x[f] for f in FEATURES]) for tree in forest]
-        return F.struct(x["candidate"].alias("candidate"), F.round(reduce(Column.__add__, trees) / len(trees), 6).alias("score"))
+        return F.struct(
+            x["prefix"].alias("prefix"), x["candidate"].alias("candidate"), x["skipped"].alias("skipped"),
+            F.round(reduce(Column.__add__, trees) / len(trees), 6).alias("score"),
+        )
+
+    return measured(documents).withColumn("_found", F.transform("_measured", scored)).drop("_measured")
 
-    return rows.withColumn("_found", F.transform(F.transform("_all", measured), scored)).drop("_all")
+
+KEPT = "array<struct<start: bigint, length: bigint, secret_sha256: string, score: double>>"
 
 
 def findings(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per finding that the forest keeps: its place in the text, length, digest and score."""
-    rows = scanned(documents.select("doc_id", "text"), settings).where(
-        F.exists("_found", lambda x: x["score"] >= settings.threshold)
-    )
-    joined = lambda c: F.length(F.array_join(c, ""))
-    return (
-        rows.select("doc_id", "_gaps", F.col("_found.candidate").alias("_all"), F.posexplode("_found").alias("number", "f"))
-        .where(F.col("f.score") >= settings.threshold)
-        .select(
-            "doc_id",
-            (joined(F.slice("_gaps", 1, F.col("number") + 1)) + joined(F.slice("_all", 1, F.col("number")))).cast("long").alias("start"),
-            F.length("f.candidate").cast("long").alias("length"),
-            # The secret itself goes no further than the text it stands in.
-            F.sha2("f.candidate", 256).alias("secret_sha256"),
-            F.col("f.score").alias("score"),
+
+    def placed(state: Column, x: Column) -> Column:
+        start = state["at"] + x["skipped"]
+        size = F.length(x["candidate"]).cast("long")
+        # The secret itself goes no further than the text it stands in.
+        row = F.struct(
+            start.alias("start"), size.alias("length"), F.sha2(x["candidate"], 256).alias("secret_sha256"), x["score"].alias("score")
         )
-    )
+        kept = F.when(x["score"] >= settings.threshold, F.concat(state["kept"], F.array(row).cast(KEPT))).otherwise(state["kept"])
+        return F.struct((start + size).alias("at"), kept.alias("kept"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(KEPT).alias("kept"))
+    rows = scanned(documents.select("doc_id", "text"), settings)
+    # An outer explode: of an inner one Spark would infer a filter that scans every text a second time.
+    rows = rows.select("doc_id", F.explode_outer(F.aggregate("_found", begin, placed, lambda s: s["kept"])).alias("f"))
+    return rows.where(F.col("f").isNotNull()).select("doc_id", "f.*")
 
 
 def redacted(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -285,7 +356,7 @@ def redacted(documents: DataFrame, settings: Settings = Settings()) -> DataFrame
     columns = documents.columns
     parts = F.transform(
         "_found", lambda x, i: F.concat(
-            F.get("_gaps", i), F.when(x["score"] >= settings.threshold, F.lit(settings.mask)).otherwise(x["candidate"])
+            F.get("_gaps", i), x["prefix"], F.when(x["score"] >= settings.threshold, F.lit(settings.mask)).otherwise(x["candidate"])
         )
     )
     masked = F.concat(F.array_join(parts, ""), F.element_at("_gaps", -1))
