@@ -13,8 +13,9 @@ the window's words, skipping items whose bound stays under the threshold, and yi
 **Verification.** An item splits into question and answer (its last sentence). A retrieved item is a leak if enough of the word
 trigrams of each, question and answer, stand in the window; a part of one or two words must stand there as a whole.
 
-How it spreads: documents stay where they are read, nothing is shuffled. The index goes to the tasks in shards of at
-most `shard_items` items; more items take more passes over the documents, in blocks of items.
+How it spreads: documents stay where they are read, nothing of them is shuffled. The index goes to the tasks in shards of
+about `shard_items` items or `shard_words` words; more items take more passes over the documents. Document
+frequencies, average length and the window are taken over all items by Spark, so that results do not depend on the shards.
 
 Defined cases: NULL and empty texts hold no leak; NULL and wordless items are never found; items that repeat are found under
 each id; repeated documents give repeated rows; empty tables give an empty result; other columns are ignored.
@@ -54,6 +55,7 @@ class Settings:
     block: int = 8
     least_window: int = 64
     shard_items: int = 1_024
+    shard_words: int = 262_144
     #: Words in more than this share of the items always count in a block's bound.
     common: float = 0.08
 
@@ -72,6 +74,16 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return words[: len(words) // 2], words[len(words) // 2 :]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Over all items with words: their number, their words, the longest one's words, and how many items hold a word."""
+
+    items: int
+    words: int
+    longest: int
+    frequency: dict[str, int]
+
+
 @dataclass
 class Index:
     """One shard of test items, in blocks, with what retrieval and verification need."""
@@ -91,15 +103,21 @@ class Index:
     answers: list[set] = field(default_factory=list)
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]], settings: Settings = Settings()) -> Index | None:
+    def build(
+        cls, rows: list[tuple[int, str]], settings: Settings = Settings(), overall: Statistics | None = None
+    ) -> Index | None:
+        """An index of the rows; `overall` holds the statistics where they are a part of all items."""
         found = [(i, words, text) for i, text in sorted(rows) if (words := WORD.findall((text or "").lower()))]
         if not found:
             return None
         # Like items share blocks, which makes the blocks' bounds tight; any order is right.
         found.sort(key=lambda x: (x[1][0], x[0]))
-        total, average = len(found), sum(len(w) for _, w, _ in found) / len(found)
-        frequency = Counter(w for _, words, _ in found for w in set(words))
-        vocabulary = {w: n for n, w in enumerate(sorted(frequency))}
+        if overall is None:
+            lengths = [len(w) for _, w, _ in found]
+            held = Counter(w for _, words, _ in found for w in set(words))
+            overall = Statistics(len(found), sum(lengths), max(lengths), held)
+        total, average, frequency = overall.items, overall.words / overall.items, overall.frequency
+        vocabulary = {w: n for n, w in enumerate(sorted({w for _, words, _ in found for w in words}))}
         blocks = -(-total // settings.block)
         postings: list[dict] = [{} for _ in range(blocks)]
         top = np.zeros((len(vocabulary) + 1, blocks), dtype=np.float32)
@@ -116,16 +134,15 @@ class Index:
                 bound, listed = postings[block].get(at, (0.0, []))
                 postings[block][at] = (max(bound, v / full), [*listed, (number, v / full)])
                 top[at, block] = max(top[at, block], v / full)
-        often = sorted(vocabulary[w] for w, c in frequency.items() if c > max(1, settings.common * total))
+        often = sorted(n for w, n in vocabulary.items() if frequency[w] > max(1, settings.common * total))
         row = np.full(len(vocabulary) + 1, -1)
         row[often] = np.arange(len(often))
         common = top[often].copy()
         top[often] = 0
         split = [parts(text) for _, _, text in found]
-        longest = max(len(w) for _, w, _ in found)
         return cls(
             settings, [i for i, _, _ in found], vocabulary, postings, top, common, row,
-            2 * max(longest, settings.least_window // 2), [grams(q) for q, _ in split], [grams(a) for _, a in split],
+            2 * max(overall.longest, settings.least_window // 2), [grams(q) for q, _ in split], [grams(a) for _, a in split],
         )
 
     def find(self, text: str | None) -> list[tuple[int, int, float, float, float]]:
@@ -229,14 +246,37 @@ def _share(wanted: set, passage: list[str], have: dict[int, set]) -> float:
     return len(wanted & have[n]) / len(wanted)
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words and distinct words of each item."""
+    for b in batches:
+        words = [WORD.findall(t.lower()) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("item_id"), b.column("text"), pa.array(map(len, words), pa.int64()),
+             pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))],
+            names=["item_id", "text", "n_words", "words"],
+        )
+
+
 def indexes(items: DataFrame, settings: Settings = Settings()) -> Iterator[Index]:
-    """Indexes over shards of the items, one after the other; each holds a bounded number of items."""
-    usable = items.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    shards = max(1, math.ceil(usable.count() / settings.shard_items))
-    own = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    for shard in range(shards):
-        rows = [(r.item_id, r.text) for r in usable.where(own == shard).collect()]
-        if index := Index.build([r for r in rows if r[0] is not None], settings):
+    """Indexes over shards of the items, one after the other, all by the statistics of all items."""
+    usable = items.where("text IS NOT NULL AND item_id IS NOT NULL").select(
+        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
+    )
+    parsed = usable.mapInArrow(_parsed, "item_id long, text string, n_words long, words array<string>").where("n_words > 0")
+    n, words, longest = parsed.agg(F.count("*"), F.sum("n_words"), F.max("n_words")).collect()[0]
+    if not n:
+        return
+    shards = max(math.ceil(n / settings.shard_items), math.ceil(words / settings.shard_words))
+    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).alias("shard")
+    held = parsed.select(shard, F.explode("words").alias("word")).groupBy("shard", "word").agg(F.count("*").alias("n"))
+    if shards > 1:
+        held = base.stored(held, "benchmark-words")
+        held = held.drop("n").join(held.groupBy("word").agg(F.sum("n").alias("n")), "word")
+        held = base.stored(held.repartition("shard"), "benchmark-frequencies")
+    for number in range(shards):
+        own = {r.word: r.n for r in held.where(F.col("shard") == number).select("word", "n").collect()}
+        rows = [(r.item_id, r.text) for r in usable.where(shard == number).collect()]
+        if index := Index.build(rows, settings, Statistics(n, words, longest, own)):
             yield index
 
 

@@ -94,3 +94,19 @@ def test_parts_of_one_or_two_words_are_found(spark):
     assert found == {(i, i) for i, _ in rows}
     clean = dc.without_leaks(documents(spark, docs), table)
     assert sorted(r.doc_id for r in clean.collect()) == [200, 201]
+
+
+def test_results_do_not_depend_on_the_shards(spark):
+    rows = items(9, 16)
+    rng = random.Random(10)
+
+    def damaged(text):
+        return " ".join(w for w in text.split() if rng.random() > 0.25)
+
+    docs = documents(spark, [(i, damaged(rng.choice(rows)[1])) for i in range(150)])
+    table = spark.createDataFrame([*rows, (3, rows[3][1]), (50, None), (None, "x y"), (51, "...")], ITEMS)
+    found = [
+        sorted(map(tuple, dc.leaks(docs, table, dc.Settings(threshold=0.5, question=0.3, answer=0.3, **bound)).collect()))
+        for bound in ({"shard_items": 1_024}, {"shard_items": 7}, {"shard_items": 1}, {"shard_words": 90})
+    ]
+    assert len(found[0]) > 20 and all(f == found[0] for f in found)
