@@ -7,19 +7,17 @@ Two parts decide about a document:
   documents holding a line are counted per host. Lines above the limits are menu, banner or
   licence lines; `cleaned` removes them, and a document that they mostly consist of is rejected.
 
-Copies of one document are not evidence that a line is boilerplate. So lines are counted twice: first in
-distinct texts, which gives the *shared* lines (in more texts than the limit), then in distinct documents.
-A document counts by the least hash among its own lines, those that are not shared: exact copies have it in
-common, near copies mostly do, and lines that always stand together take no part in it. An own line stands in
-at most `line_documents` texts, so a line in more than `line_documents` squared texts of documents with own words
-always counts as above that limit. A text with too few own words is a near copy (8/9 of the words in common are a similarity
-of 0.8, as in near-dedup) and counts by its shared lines, so that all its family counts once. The two limits
-are a number of distinct documents and a share of the host's distinct texts, and hold alike at every size.
+A document of the count is a distinct text of the host, told by its set of lines, so exact copies count once. Near
+copies count once a family: a line in more distinct texts than the limit is *shared*, and a text with less than a ninth of its
+words in lines of its own is a near copy (8/9 of the words in common are a similarity of 0.8, as in near-dedup); it
+counts by its least shared line other than the counted one, which its family has in common. A family of no more than
+`line_documents` texts shares no line by itself and needs no such care. The limit is a number of documents
+and holds alike for hosts of every size.
 
 How it spreads: lines are taken once and written as hashes; distinct counts are Spark's two-step distinct aggregates, so a line
-found everywhere is counted where it is read. Lines over a share `s` of a host's documents
-number at most (mean lines per document) / `s` for the host; the table is written, and Spark broadcasts it only
-when its files are under the session's limit, or sort-merges (with AQE's skew splitting) beyond.
+found everywhere is counted where it is read. A frequent line
+stands in more than `line_documents` texts, so such lines are at most that part of all; their table is written, and Spark
+broadcasts it only when its files are under the session's limit, or sort-merges (with AQE's skew splitting) beyond.
 
 Defined cases: NULL or blank text has no words, fails the base rule and has no lines; NULL host is a
 host of its own; repeated doc_ids are judged row by row (a row key is the id, host and text hash);
@@ -42,11 +40,10 @@ class Limits:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: A line is boilerplate if more distinct documents of its host hold it than each of these.
+    #: A line is boilerplate if more distinct documents of its host hold it.
     line_documents: int = 10
-    line_share: float = 0.05
-    #: A text with a smaller share of own words is a near copy.
-    own_share: float = 1 / 9
+    #: A text with less than one in so many words in lines of its own is a near copy.
+    family_words: int = 9
     #: A document left with a smaller share of its words is rejected.
     min_left_share: float = 0.3
 
@@ -99,7 +96,7 @@ def line_hashes(documents: DataFrame) -> DataFrame:
 
 
 def frequent_lines(hashed: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """host, h: lines in more distinct documents of the host than the limits allow, from `line_hashes`."""
+    """host, h: lines in more distinct documents of the host than the limit allows, from `line_hashes`."""
     lines = hashed.select("host", "text_key", F.explode("lines").alias("line")).select(
         "host", "text_key", F.col("line.h").alias("h"), F.col("line.n").alias("n")
     )
@@ -115,24 +112,18 @@ def frequent_lines(hashed: DataFrame, limits: Limits = Limits()) -> DataFrame:
         .groupBy("host", "text_key")
         .agg(
             F.sum("n").alias("words"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own_words"),
-            F.min(F.when(own, F.col("h"))).alias("own"), F.collect_set(F.when(~own, F.col("h"))).alias("hashes"),
+            F.collect_set(F.when(~own, F.col("h"))).alias("hashes"),
         )
         .where(F.size("hashes") > 0)
-        .withColumn("own", F.when(F.col("own_words") >= limits.own_share * F.col("words"), F.col("own")))
+        .withColumn("own", F.when(F.col("own_words") * limits.family_words >= F.col("words"), F.col("text_key")))
         .withColumns({"least": F.array_min("hashes"), "most": F.array_max("hashes")})
         .select("host", "own", "least", "most", F.explode("hashes").alias("h"))
     )
     # A near copy counts by a shared line other than the counted one; those without any are copies of each other.
     other = F.when(F.col("h") != F.col("least"), F.col("least")).when(F.col("h") != F.col("most"), F.col("most"))
-    counted = texts.groupBy("host", "h").agg(
-        F.countDistinct(F.coalesce(F.col("own"), other, F.lit(-1))).alias("documents")
-    )
-    # Copies count once here too, or a host full of them would hide its lines.
-    hosts = hashed.groupBy("host").agg(F.countDistinct("text_key").alias("host_documents"))
     return (
-        counted.where(F.col("documents") > limits.line_documents)
-        .join(hosts, "host")
-        .where(F.col("documents") > limits.line_share * F.col("host_documents"))
+        texts.groupBy("host", "h").agg(F.countDistinct(F.coalesce(F.col("own"), other, F.lit(-1))).alias("documents"))
+        .where(F.col("documents") > limits.line_documents)
         .select("host", "h")
     )
 
@@ -282,18 +273,22 @@ WITH docs AS (
     SELECT doc_id, host, lower(trim(regexp_replace(l, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS x
     FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS l FROM docs)
   ) WHERE x <> ''
-), ordered AS (
-  SELECT doc_id, host, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS r
-  FROM (SELECT DISTINCT doc_id, host, h FROM line)
-), least_two AS (
-  SELECT doc_id, min(h) AS a, min(h) FILTER (WHERE r = 2) AS b FROM ordered GROUP BY doc_id
+), keyed AS (
+  SELECT doc_id, host, list_sort(list(DISTINCT h)) AS text_key FROM line GROUP BY doc_id, host
+), held AS (
+  SELECT host, text_key, h, sum(n) AS n FROM line JOIN keyed USING (doc_id, host) GROUP BY host, text_key, h
+), shared AS (
+  SELECT host, h FROM held GROUP BY host, h HAVING count(*) > 10
+), split AS (
+  SELECT held.*, shared.h IS NOT NULL AS is_shared FROM held LEFT JOIN shared USING (host, h)
+), texts AS (
+  SELECT host, text_key, 9 * coalesce(sum(n) FILTER (WHERE NOT is_shared), 0) >= sum(n) AS own,
+         min(h) FILTER (WHERE is_shared) AS least, max(h) FILTER (WHERE is_shared) AS most
+  FROM split GROUP BY host, text_key
 ), frequent AS (
-  SELECT o.host, o.h
-  FROM ordered o JOIN least_two t USING (doc_id)
-  JOIN (SELECT host, count(*) AS host_documents FROM docs GROUP BY host) USING (host)
-  GROUP BY o.host, o.h, host_documents
-  HAVING count(DISTINCT coalesce(CASE WHEN o.h = t.a THEN t.b ELSE t.a END, -1)) > 10
-     AND count(DISTINCT coalesce(CASE WHEN o.h = t.a THEN t.b ELSE t.a END, -1)) > 0.05 * host_documents
+  SELECT host, h FROM split JOIN texts USING (host, text_key) WHERE is_shared
+  GROUP BY host, h
+  HAVING count(DISTINCT CASE WHEN own THEN text_key WHEN h <> least THEN [least] WHEN h <> most THEN [most] ELSE [-1] END) > 10
 ), removed AS (
   SELECT doc_id, sum(n)::BIGINT AS words_removed FROM line JOIN frequent USING (host, h) GROUP BY doc_id
 ), figures AS (

@@ -78,14 +78,60 @@ def test_copies_are_no_evidence(spark):
     assert all(r["kept"] and r["words_removed"] == 0 for r in got.values())
 
 
-def test_copies_do_not_raise_the_share(spark):
-    """A banner in 20 documents, beside 400 copies of another one."""
+def test_a_large_host_does_not_hide_its_lines(spark):
+    """A banner in 40 of 1,000 documents, beside 400 copies of another one."""
     rng = random.Random(7)
     banner, copied = _body(rng, 5), _body(rng)
-    rows = [(i, f"{banner}\n{_body(rng)}") for i in range(20)] + [(100 + i, copied) for i in range(400)]
+    rows = [(i, f"{banner}\n{_body(rng)}" if i < 40 else _body(rng)) for i in range(1000)]
+    rows += [(2000 + i, copied) for i in range(400)]
     got = by_id(qr.judge(documents(spark, rows)))
-    assert all(got[i]["words_removed"] == 5 for i in range(20))
-    assert all(got[100 + i]["words_removed"] == 0 for i in range(400))
+    assert all(got[i]["words_removed"] == (5 if i < 40 else 0) for i in range(1000))
+    assert all(got[2000 + i]["words_removed"] == 0 for i in range(400))
+
+
+def test_series_with_lines_in_common_count_by_documents(spark):
+    """A banner in two series of ten documents, each with six lines in common."""
+    rng = random.Random(9)
+    banner, common = _body(rng, 8), [[_body(rng, 6) for _ in range(6)] for _ in range(2)]
+    rows = [(i, "\n".join([banner, *common[i % 2], _body(rng, 60)])) for i in range(20)]
+    got = by_id(qr.judge(documents(spark, rows)))
+    assert all(r["words_removed"] == 8 and r["kept"] for r in got.values())
+
+
+def frequent_by_hand(rows, limit=10):
+    """(host, line) above the limit, by sets in memory: distinct texts, near copies once a family."""
+    normal = lambda text: [x for x in (" ".join(words(l)).lower() for l in (text or "").split("\n")) if x]
+    held, texts = {}, {}
+    for _, text, _, host in rows:
+        lines = normal(text)
+        key = (host or "", frozenset(lines))
+        texts.setdefault(key, Counter()).update(lines)
+        for x in lines:
+            held.setdefault((host or "", x), set()).add(key)
+    digest = lambda x: int(__import__("hashlib").md5(x.encode()).hexdigest()[:15], 16)
+    found = {}
+    for (host, key), lines in texts.items():
+        shared = sorted((x for x in lines if len(held[host, x]) > limit), key=digest)
+        size = lambda xs: sum(lines[x] * len(x.split(" ")) for x in xs)
+        own = 9 * size(x for x in lines if x not in shared) >= size(lines)
+        for x in shared:
+            others = [y for y in shared if y != x]
+            found.setdefault((host, x), set()).add(key if own else min(others, key=digest, default=None))
+    return {(host, digest(x)) for (host, x), documents_ in found.items() if len(documents_) > limit}
+
+
+def test_frequent_lines_equal_brute_force(spark):
+    rng = random.Random(10)
+    pool = [_body(rng, rng.randint(1, 12)) for _ in range(30)]
+    family = [_body(rng, 10) for _ in range(10)]
+    rows = []
+    for i in range(400):
+        lines = rng.sample(pool, rng.randint(0, 8)) + [_body(rng, rng.choice([1, 3, 30])) for _ in range(rng.randint(0, 2))]
+        rows.append((i, "\n".join(rng.sample(lines, len(lines))), None, rng.choice(["a", "a", "b", None])))
+    rows += [(1000 + i, "\n".join([*family, _body(rng, 2)]), None, "a") for i in range(40)]
+    rows += [(2000 + i, rows[i][1], None, rows[i][3]) for i in range(100)] + [(3000, None, None, "a")]
+    got = {(r.host, r.h) for r in qr.frequent_lines(qr.line_hashes(documents(spark, rows))).collect()}
+    assert got == frequent_by_hand(rows) and len(got) > 20
 
 
 def test_limits_are_per_host_and_normalised(spark):
