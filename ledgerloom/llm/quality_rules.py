@@ -10,7 +10,7 @@ Two parts decide about a document:
 A document of the count is a distinct text of the host, told by its set of lines, so exact copies count once. Near
 copies count once a family: a line in more distinct texts than the limit is *shared*, and a text with less than a ninth of its
 words in lines of its own is a near copy (8/9 of the words in common are a similarity of 0.8, as in near-dedup); it
-counts by its least shared line other than the counted one, which its family has in common. A family of no more than
+counts by its least shared line (for that line itself: by its greatest), which its family has in common. A family of no more than
 `line_documents` texts shares no line by itself and needs no such care. The limit is a number of documents
 and holds alike for hosts of every size.
 
@@ -119,7 +119,7 @@ def frequent_lines(hashed: DataFrame, limits: Limits = Limits()) -> DataFrame:
         .withColumns({"least": F.array_min("hashes"), "most": F.array_max("hashes")})
         .select("host", "own", "least", "most", F.explode("hashes").alias("h"))
     )
-    # A near copy counts by a shared line other than the counted one; those without any are copies of each other.
+    # A near copy counts by a shared line other than the counted one; those without another are one family.
     other = F.when(F.col("h") != F.col("least"), F.col("least")).when(F.col("h") != F.col("most"), F.col("most"))
     return (
         texts.groupBy("host", "h").agg(F.countDistinct(F.coalesce(F.col("own"), other, F.lit(-1))).alias("documents"))

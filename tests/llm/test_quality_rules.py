@@ -115,8 +115,8 @@ def frequent_by_hand(rows, limit=10):
         size = lambda xs: sum(lines[x] * len(x.split(" ")) for x in xs)
         own = 9 * size(x for x in lines if x not in shared) >= size(lines)
         for x in shared:
-            others = [y for y in shared if y != x]
-            found.setdefault((host, x), set()).add(key if own else min(others, key=digest, default=None))
+            family = shared[0] if x != shared[0] else shared[-1] if len(shared) > 1 else None
+            found.setdefault((host, x), set()).add(key if own else family)
     return {(host, digest(x)) for (host, x), documents_ in found.items() if len(documents_) > limit}
 
 
