@@ -37,6 +37,41 @@ def test_pages_without_an_article_element():
     assert text(page) == f"{long}\n\n{long}"
 
 
+LONG = "It was told for many years that the river once ran on the other side of the hill, where old stones still mark its bed."
+
+
+@pytest.mark.parametrize("inner", [
+    ["<h1>Title here</h1>", f"<p>{LONG}</p>", "<p>Short one.</p>", f"<p>{LONG}</p>"],
+    ["<h1>Head</h1>", f"<p>{LONG}</p>", "<ul><li>One thing</li>", "<li>Another</li>", "<li>Third</li></ul>", f"<p>{LONG}</p>"],
+    ["<h1>Head</h1>", "<h2>Lower head</h2>", f"<p>{LONG}</p>", "<h2>Next</h2>", "<p>Yes.</p>", "<p>No.</p>", f"<p>{LONG}</p>"],
+])
+def test_headings_and_short_blocks_of_pages_without_an_article(inner):
+    """Everything of the article stays, the menu before it and the links after it go."""
+    before = "<div><a href=x>One</a></div><div><a href=y>Two more</a></div>"
+    after = "<div><a href=z>Next page</a></div><div>Site of 2020</div>"
+    expected = [he.blocks(x)[0].text for x in inner]
+    assert text(f"{before}<div>{''.join(inner)}</div>{after}") == "\n\n".join(expected)
+
+
+def test_subjects_in_names_of_an_articles_parts():
+    part = f"<section class='related-work'><h2>Related work</h2><p>{LONG}</p></section>"
+    assert text(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>").count(LONG) == 3
+    links = "<div class='related-posts'><a href=x>Other text</a><p><a href=y>One more here</a></p></div>"
+    assert text(f"<article><p>{LONG}</p>{links}</article>") == LONG
+    for name in ("comment-body", "ad-slot", "share", "related", "newsletter-box"):
+        assert text(f"<article><p>{LONG}</p><div class='{name}'><p>Buy this.</p></div></article>") == LONG
+
+
+def test_neighbours_decide():
+    """Without the neighbours' columns the tree cannot tell the labelled blocks, with them it tells all."""
+    right = lambda rows: sum(he.train(rows).decide(r[:-1]) == r[-1] for r in rows) / len(rows)
+    rows = [r for r in he.table() if r[0] in (1, 2)]
+    blind = [tuple(0 if i in he.NEIGHBOURS else v for i, v in enumerate(r)) for r in rows]
+    assert right(he.table()) == right(rows) == 1.0 and right(blind) < 0.9
+    # One short block, beside prose and among links.
+    assert TREE.decide((2, 3, 0.0, 40, 0.0, 45, 0.0)) == 1 and TREE.decide((2, 3, 0.0, 2, 1.0, 2, 1.0)) == 0
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "</p></div>", "<!-- open", "<script>open", "<a href='x", "&#0;&bad;", "<article>", "<p>" * 20_000, "<div><b>" * 5_000 + "x"])
 def test_broken_pages_do_not_fail(page):
     text(page)
