@@ -9,8 +9,10 @@ import duckdb
 import pandas as pd
 import pytest
 
+from ledgerloom import catalog
 from ledgerloom.catalog import LOADS, QUERIES
 from ledgerloom.oracles import ORACLES
+from ledgerloom.sources import fixture
 from tests.conftest import SMALL
 
 
@@ -91,3 +93,30 @@ def test_one_project_holding_a_third_of_the_feed_keeps_results_whole(spark, duck
                  "monitoring_constraints", "stream_apply"):
         got = QUERIES[name](spark, str(tmp_path)).toPandas()
         assert plain(got) == plain(skewed.sql(ORACLES[name]).df()), name
+
+
+def test_the_ledger_comes_dealt_by_its_id(spark):
+    led, keys = fixture.ledger(spark, SMALL), spark.range(10_000).selectExpr("CAST(id AS STRING) AS id_root")
+    # The names of nations and regions are always few.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3000")
+    try:
+        dealt, met = (
+            df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+            for df in (led, led.join(keys, "id_root", "left_anti"))
+        )
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Only the keys move to meet it.
+    assert met == dealt + 1
+
+
+def test_lines_move_before_they_are_summed(spark):
+    plan = fixture.ledger(spark, SMALL)._jdf.queryExecution().executedPlan().toString().splitlines()
+    sums = next(i for i, line in enumerate(plan) if "partial_sum" in line)
+    assert any("REPARTITION_BY_COL" in line for line in plan[sums:])
+
+
+def test_broken_events_are_left_out_without_a_join(spark):
+    good = catalog._good_feed(spark, SMALL)
+    assert "Join" not in good._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < good.count() < fixture.feed(spark, SMALL).count()
