@@ -315,3 +315,32 @@ def test_incoming_rows_are_read_once_and_marked(spark, make):
     for result in (marked, inserts, after, refused, ch.upsert(led, sent)):
         assert path not in result._jdf.queryExecution().optimizedPlan().toString()
         assert not any(path in f for f in result.inputFiles())
+
+
+# ---- what moves ----
+
+
+def test_wide_incoming_rows_move_once_to_be_marked(spark, make, monkeypatch):
+    monkeypatch.setattr(ch, "known_keys", lambda led, keys: led.select("id_root").distinct())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marked = ch.mark_inserts(ledger(make, "K1"), ledger(make, "K1", "K2", "K2"))
+        plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 2 and not any("_row" in line for line in joins)
+    assert sorted(r["outcome"] for r in marked.collect()) == ["added", "exists", "repeated"]
+
+
+def test_marks_of_an_upsert_are_written_as_keys(make, monkeypatch):
+    written, write = {}, ch._written
+
+    def recording(rows, label):
+        written[label] = rows.columns
+        return write(rows, label)
+
+    monkeypatch.setattr(ch, "_written", recording)
+    after = ch.upsert(ledger(make, "K1"), ledger(make, "K1", "K2"))
+    assert rows(after, "id_root") == [("K1",), ("K2",)]
+    assert written["marked"] == ["_mark_id_root", "outcome"]
